@@ -221,14 +221,16 @@ def _save(root: str, what: str, shard: int, **arrays: np.ndarray) -> None:
 def discounts(coc: np.ndarray) -> np.ndarray:
     """For counts 0, 1, 2 and more, from the numbers of entries counted 1, 2, 3 and 4 times.
 
-    Where a number is 0 the estimate is undefined; 0.5, 1 and 1.5 stand in. Discounts lie in [0, count].
+    Half the count stands in where an estimate is undefined or not positive: a discount of 0 would
+    leave nothing for what is unseen.
     """
-    t1, t2, t3, t4 = (float(x) for x in coc)
-    out = [0.0, 0.5, 1.0, 1.5]
-    if t1 and t2 and t3:
-        y = t1 / (t1 + 2 * t2)
-        out = [0.0, 1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3]
-    return np.array([0.0, *(min(max(d, 0.0), k) for k, d in enumerate(out[1:], 1))])
+    t = [float(x) for x in coc]
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.0
+    out = [0.0]
+    for k in (1, 2, 3):
+        d = k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] and y else 0.0
+        out.append(d if 0 < d else k / 2)
+    return np.array(out)
 
 
 @dataclass
