@@ -74,4 +74,4 @@ def exposition(counted: DataFrame, namespace: str = "textward") -> DataFrame:
     """Lines of Prometheus's text format for counters, the column line."""
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'(["\\])', r"\\$1"), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))).otherwise("")
-    return counted.select(F.concat(F.lit(f"{namespace}_"), "metric", labels, F.lit(" "), F.format_number("value", "0.######")).alias("line"))
+    return counted.select(F.concat(F.lit(f"{namespace}_"), "metric", labels, F.lit(" "), F.call_function("format_number", "value", F.lit("0.######"))).alias("line"))
