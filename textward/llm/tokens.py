@@ -33,7 +33,7 @@ PAGE = 64 << 10
 PAGE_ROWS = 1000
 RANGE_BYTES = 128 << 20
 #: Distinct words that a worker keeps the ids of.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 2_000_000
 _OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(ROW_GROUP),
@@ -57,8 +57,46 @@ def word_split(path: str) -> bool:
     return bool(splits) and all(not s.get("add_prefix_space") for s in level) and plain and spec.get("post_processor") is None
 
 
+#: Fixed value: the splitting pattern whose pieces `_classes` can count in plain words.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_JOINED = 1000
+
+
+def _classes() -> np.ndarray:
+    """Class of each byte of a plain word; 0: not plain (controls, apostrophe, "<", most of Unicode)."""
+    c = np.zeros(256, np.uint8)
+    c[33:127] = _SIGN
+    c[[0x27, 0x3C]] = 0
+    c[48:58] = _DIGIT
+    c[65:91] = c[97:123] = _LETTER
+    c[0x80:0xC0] = c[0xC3:0xC6] = _LETTER  # U+00C0 to U+017F
+    return c
+
+
+_CLASS = _classes()
+
+
+def plain_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the number of letter runs, digits and sign runs in it; 0 if it isn't plain."""
+    c = _CLASS[raw]
+    odd = ((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))) | ((raw[:-1] == 0xC4) & (raw[1:] == 0xB0))  # U+00D7, U+00F7, U+0130
+    c[:-1][odd] = 0
+    bad = np.concatenate(([0], np.cumsum(c == 0)))
+    edge = np.ones(len(c), bool)
+    edge[1:] = (c[1:] != c[:-1]) | (c[1:] == _DIGIT)
+    total = np.concatenate(([0], np.cumsum(edge)))
+    pieces = total[ends] - total[starts] + ~edge[starts]
+    return np.where(bad[ends] == bad[starts], pieces, 0)
+
+
 class Encoder:
-    """Ids of whole texts; distinct words are encoded once."""
+    """Ids of whole texts; distinct words are encoded once.
+
+    Plain words are encoded many at a time, joined by spaces. Each piece of a word ends with the
+    one id that closes a piece, so the closing ids tell the words' ids apart; should their number differ
+    from that of the pieces, the words are encoded one by one.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,33 +104,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word, self.kept = word_split(path), kept
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
+        self.joins = bool(suffix) and split == [_PATTERN] and steps == ["NFC", "Replace", "Lowercase"]
+        if self.joins:
+            vocabulary = spec["model"]["vocab"]
+            self.closes = np.zeros(max(self.tokenizer.get_vocab_size(), max(vocabulary.values()) + 1), bool)
+            self.closes[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *got])
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, at)
-        self.size = np.insert(self.size, where, size)
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([k for x in got for k in x], np.int32), np.array([len(x) for x in got], np.int64)
+
+    def _joined(self, texts: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words end to end, and how many each has."""
+        starts = range(0, len(texts), _JOINED)
+        got = self.tokenizer.encode_batch_fast([" ".join(texts[a : a + _JOINED]) for a in starts], add_special_tokens=False)
+        ids, sizes = [], []
+        for a, e in zip(starts, got, strict=True):
+            some = np.array(e.ids, np.int32)
+            last = np.cumsum(pieces[a : a + _JOINED]) - 1
+            closing = np.flatnonzero(self.closes[some])
+            if len(closing) == last[-1] + 1:
+                ids.append(some)
+                sizes.append(np.diff(closing[last], prepend=-1))
+            else:
+                one, size = self._one_by_one(texts[a : a + _JOINED])
+                ids.append(one)
+                sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, texts: list[str], pieces: np.ndarray) -> None:
+        plain = np.flatnonzero(pieces) if self.joins else np.zeros(0, int)
+        other = np.flatnonzero(pieces == 0) if self.joins else np.arange(len(texts))
+        for some, encode in ((plain, lambda t: self._joined(t, pieces[plain])), (other, self._one_by_one)):
+            if len(some):
+                ids, size = encode([texts[i] for i in some])
+                at = len(self.ids) + np.cumsum(size) - size
+                self.ids = np.concatenate([self.ids, ids])
+                where = np.searchsorted(self.keys, keys[some])
+                self.keys = np.insert(self.keys, where, keys[some])
+                self.at = np.insert(self.at, where, at)
+                self.size = np.insert(self.size, where, size)
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end, and the offset of each text in them."""
-        n = len(column)
         if not self.by_word:
             got = self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)
             each = [np.array([*e.ids, end], np.int32) for e in got]
             return np.concatenate(each) if each else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         raw, offs = words.utf8(column)
-        hashes, rows, starts, ends = words.word_hashes(raw, offs, spans=True, code=words.TABLES.exact)
+        if self.joins:  # plain words count alike in either case
+            hashes, rows, starts, ends = words.word_hashes(raw, offs, spans=True)
+            pieces = plain_words(raw, starts, ends) if len(starts) else np.zeros(0, np.int64)
+            other = np.flatnonzero(pieces == 0)
+            exact = [words.hash_spans(raw[a:b], np.array([0]), np.array([b - a]), words.TABLES.exact)[0] for a, b in zip(starts[other], ends[other], strict=True)]
+            hashes[other] = words.mix(np.array(exact, np.uint64) + np.uint64(1))
+        else:
+            hashes, rows, starts, ends = words.word_hashes(raw, offs, spans=True, code=words.TABLES.exact)
+            pieces = np.zeros(len(starts), np.int64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.kept:
             self.clear()
@@ -101,10 +181,10 @@ class Encoder:
         inside = k < len(self.keys)
         new[inside] = self.keys[k[inside]] != distinct[inside]
         if new.any():
-            data = raw.tobytes()
-            self._learn(distinct[new], [data[starts[i] : ends[i]].decode() for i in first[new]])
+            data, at = raw.tobytes(), first[new]
+            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pieces[at])
         k = np.searchsorted(self.keys, distinct)[inverse]
-        at, size = self.at[k], self.size[k]
+        at, size = self.at[k], self.size[k].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(size)))
         counts = before[rows[1:]] - before[rows[:-1]]
         out_offs = np.concatenate(([0], np.cumsum(counts + 1)))
@@ -112,10 +192,19 @@ class Encoder:
         body = np.ones(len(out), bool)
         body[out_offs[1:] - 1] = False
         out[body] = self.ids[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
-        assert n == len(counts)
         return out, out_offs
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file; what it has learned serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -137,10 +226,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
     dealt = source.repartitionByRange(_ranges(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in words.slices(batch.column("text")):
-                ids, offs = encoder.encode(batch.column("text").slice(a, b - a), end)
+                ids, offs = coder.encode(batch.column("text").slice(a, b - a), end)
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(b - a, part, np.int32)), batch.column("doc_id").slice(a, b - a), pa.array(offs[:-1] + before), pa.array(np.diff(offs)), lists],
