@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ATTACK, BENIGN = "attack", "benign"
 THRESHOLDS = tuple(round(k / 20, 2) for k in range(1, 21))
@@ -51,8 +52,9 @@ def promotion(scored: DataFrame, *, signal: str = "signal", label: str = "label"
     """For each signal its recommended threshold, recall, fpr, scored, errored, and verdict against the baseline."""
     sizes = scored.groupBy(signal).agg(F.count(F.col(score)).alias("scored"), F.count_if(F.col(score).isNull()).alias("errored"))
     best = recommend(sweep(scored, by=[signal], label=label, score=score), by=[signal], max_fpr=max_fpr).select(signal, "threshold", "recall", "fpr")
-    base = best.where(F.col(signal) == baseline).select(F.col("recall").alias("_base"))
-    out = sizes.join(best, signal, "left").join(F.broadcast(base))  # one row
+    # a row for each signal: few enough for one window
+    base = F.max(F.when(F.col(signal) == baseline, F.col("recall"))).over(Window.partitionBy(F.lit(0)))
+    out = sizes.join(best, signal, "left").withColumn("_base", base)
     verdict = (
         F.when(F.col("scored") == 0, "no data").when(F.col(signal) == baseline, "baseline").when(F.col("fpr") > max_fpr, "over budget")
         .when(F.col("recall") > F.col("_base"), "gains recall").otherwise("no gain")
