@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 4096
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = (math.sqrt(5) - 1) / 2
 _CELLS = 1024
