@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm import words
+from textward.llm.scratch import bounded
 
 SEED = 3
 MIN_SCORE = 0.6
@@ -208,6 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     nothing; items without id or text, or with fewer than min_item_words words, name nothing;
     repeated documents and items with different texts are each looked at.  No rows without items.
     """
+    bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, score double, first_word long, n_words long"
@@ -237,6 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, min_score: float = MIN_SCORE, min_item_words: int = MIN_ITEM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, in whose text no item is found (see `leaks`)."""
+    bounded(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     out = docs
     for rows in _blocks(_source(benchmark, item_id, item_text), block_bytes):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm import words
+from textward.llm.scratch import bounded
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -179,6 +180,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     What comes to the driver are at most BUCKETS counters a language.
     """
+    bounded(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     part = F.lit(1 << 30)
@@ -208,6 +210,7 @@ def detect(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     of name among equals); score is its share of them.  Null texts and texts without a letter,
     or a model without languages, give 'und', 0.0 and no spans.
     """
+    bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
 

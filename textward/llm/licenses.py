@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm import words
+from textward.llm.scratch import bounded
 
 #: Fixed values of the contract: phrase and label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -185,6 +186,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     overlapping places each count.  expressions: array of (text, accepted, licences), one for
     each tag that an expression follows.  Null and empty texts have none, with score 0.0.
     """
+    bounded(docs.sparkSession)
     place = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
     expression = pa.list_(pa.struct([("text", pa.string()), ("accepted", pa.bool_()), ("licences", pa.list_(pa.string()))]))
 

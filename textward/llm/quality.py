@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm import words
+from textward.llm.scratch import bounded
 
 #: At most about this many labelled rows are fitted (drawn by a hash of the id).
 FIT_ROWS = 16384
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Null ids and labels other than 0 and 1 are left out; an id with several labels counts as 0
     if one of them is 0.  The sample's features (0.6 KB a row) come to the driver.
     """
+    bounded(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = known.count()
@@ -165,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def scored(docs: DataFrame, ranker: Ranker, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, from the whole text (null: as empty); an own column of that name is replaced."""
+    bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

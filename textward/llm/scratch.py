@@ -17,10 +17,22 @@ def base(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that travel to Python at once. A worker's arrays are several times that.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Send batches of at most BATCH_BYTES to Python, unless the session says otherwise than Spark's default."""
+    if spark.conf.get(_BATCH, "64m").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """A folder of one run. Its tables cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, what: str) -> None:
+        bounded(spark)
         self.spark, self.root, self.made = spark, f"{base(spark)}/textward/{what}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
