@@ -10,6 +10,9 @@ from textward.llm import decontaminate, mixing, neardup, quality, tokens
 from textward.llm.queries import VOCABULARY, held_out, table
 from textward.llm.scratch import Scratch
 
+#: Near copies share so many per cent of their 5-word shingles; op9_minhash has its own threshold.
+NEAR_PERCENT = 80
+
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored quality.ACCEPT or more, learned from the labelled ones among them that aren't held out."""
@@ -19,7 +22,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group of near copies."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id")
+    dropped = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

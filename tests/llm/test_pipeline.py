@@ -61,5 +61,25 @@ def test_whole_run(spark, sf_dir):
     assert [r[:3] for r in got] == want
 
 
+def test_copies_of_80_to_85_per_cent_are_dropped(spark, sf_dir):
+    rows, dropped, between = [], set(), 0
+    for k in range(40):
+        text = [f"t{k}x{i}" for i in range(100 + k)]
+        rows.append((2 * k, " ".join(text)))
+        n = len(text) - 4
+        edits = [10, 60] if k % 2 else [10, 50, 90]  # each new word changes five shingles
+        for at in edits:
+            text[at] = f"edit{k}"
+        rows.append((2 * k + 1, " ".join(text)))
+        share = (n - 5 * len(edits)) / (n + 5 * len(edits))
+        between += 0.8 <= share < 0.85
+        if share >= 0.8:
+            dropped.add(2 * k + 1)
+    assert between >= 10 and len(dropped) < 40
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
+    assert got == {i for i, _ in rows} - dropped
+
+
 def test_stage_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
