@@ -51,3 +51,14 @@ def test_queries_hold_signals(spark):
     answers = catalog.output.answer(catalog.documents(spark, SF)).select("reason").distinct().collect()
     assert {r.reason for r in answers} >= {"none", "secret"}
     assert {r.severity for r in catalog.exfil_pages(spark, SF).collect()} >= {"block", "neutralize", "notice"}
+
+
+def test_every_answer_is_streamed_and_compared(spark, monkeypatch):
+    rows = [(1, 1, "first answer"), (1, 3, "a later one " * 9), (2, 1, "fine"), (2, 3, "a wrong one " * 9), (2, 5, "fine"), (3, 1, "wrong"), (3, 1, "also"), (3, 1, "also"), (4, 1, ""), (4, 3, None), (None, 1, "no id")]
+    said = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    expected = {str(i) if i else None: True for i, _, _ in rows}
+    assert {r.stream_id: r.same for r in catalog.streams_alike(said).collect()} == expected
+    batch = catalog.streamed.batch
+    monkeypatch.setattr(catalog.streamed, "batch", lambda chunks, guard: batch(chunks, guard).withColumn("text", catalog.F.expr("replace(text, 'wrong', 'other')")))
+    got = catalog.streams_alike(said).collect()
+    assert len(got) == 5 and {r.stream_id: r.same for r in got} == expected | {"2": False, "3": False}

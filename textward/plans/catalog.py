@@ -742,13 +742,20 @@ def breaker_replay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT conv_id::VARCHAR AS stream_id, TRUE AS same FROM conversations WHERE role = 'assistant'")
 def stream_vs_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Whether answers cut into chunks of 23 characters come out of the streaming guard as they do of the whole-text scan."""
-    said = conversation(spark, d).where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 23).cast("int"))
-    each = said.select(F.col("conv_id").cast("string").alias("stream_id"), "text", F.posexplode(cuts).alias("seq", "k"), F.size(cuts).alias("n"))
+    """Whether all answers of a conversation, cut into chunks of 23 characters, come out of the streaming guard as they do of the whole-text scan."""
+    return streams_alike(conversation(spark, d).where("role = 'assistant'"))
+
+
+def streams_alike(said: DataFrame) -> DataFrame:
+    """(stream_id, same) for each conversation of said (conv_id, turn, text): every turn, or text of a repeated turn, is a stream of its own."""
+    said = said.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    said = said.select("conv_id", F.to_json(F.struct("conv_id", "turn", F.sha2("text", 256).alias("text"))).alias("stream_id"), "text")
+    cuts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / 23), F.lit(0)).cast("int"))
+    each = said.select("stream_id", "text", F.posexplode(cuts).alias("seq", "k"), F.size(cuts).alias("n"))
     chunks = each.select("stream_id", "seq", F.expr("substring(text, k * 23 + 1, 23)").alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("last"))
     guard = streamed.Guard(holdback=256)
     shown = streamed.batch(chunks, guard).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"), F.bool_or("blocked").alias("blocked"))
-    whole = output.answer(said.select(F.col("conv_id").cast("string").alias("stream_id"), "text")).select("stream_id", "safe_text", F.col("blocked").alias("stopped"))
-    both = shown.join(whole, "stream_id")
-    return both.select("stream_id", ((F.col("blocked") == F.col("stopped")) & (F.col("blocked") | (F.col("text") == F.col("safe_text")))).alias("same"))
+    whole = output.answer(said).select("conv_id", "stream_id", "safe_text", F.col("blocked").alias("stopped"))
+    both = whole.join(shown, "stream_id", "left")
+    same = (F.col("blocked") == F.col("stopped")) & (F.col("blocked") | (F.col("text") == F.col("safe_text")))
+    return both.groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("same"))
