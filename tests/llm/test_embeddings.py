@@ -91,3 +91,42 @@ def test_the_beam_widens_until_the_audit_passes(monkeypatch):
 
     monkeypatch.setattr(embeddings.Shard, "search", poor)
     assert shard.beam(unit, 0.9) == 128 and max(seen) == 128
+
+
+def skewed():
+    """Far vectors, a third in a cluster of near ones, and 40 pairs at the end."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1200, 32))
+    x[:400] = x[0] + r.normal(size=(400, 32)) * 0.1
+    x[1160:] = x[1120:1160] + r.normal(size=(40, 32)) * 0.1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit, embeddings.Shard.build(np.arange(1200), np.ones(1200, int), unit)
+
+
+def test_lost_links_of_small_groups_fail_the_audit(monkeypatch):
+    unit, shard = skewed()
+
+    def poor(self, q, cosine, width):
+        row, node = self.exact(q, cosine)
+        ok = (node < 400) | (width >= 64) | (np.einsum("ij,ij->i", q[row], self.unit[node]) > 1 - 1e-9)
+        return row[ok], node[ok]
+
+    monkeypatch.setattr(embeddings.Shard, "search", poor)
+    assert shard.beam(unit, 0.9, own=True) == 64
+
+
+def test_audit_of_rare_links_looks_at_linked_vectors_of_all_blocks(monkeypatch):
+    unit, shard = skewed()
+    far = np.concatenate([np.arange(400, 1200)])
+    shard = embeddings.Shard.build(far, np.ones(len(far), int), unit[far])
+    audited = []
+    exact = embeddings.Shard.exact
+
+    def seen(self, q, cosine):
+        audited.append(q)
+        return exact(self, q, cosine)
+
+    monkeypatch.setattr(embeddings.Shard, "exact", seen)
+    shard.beam(shard.unit, 0.9, own=True)
+    rows = {q.tobytes() for q in audited[0]}
+    assert sum(v.tobytes() in rows for v in shard.unit[720:]) == 80

@@ -4,8 +4,9 @@
 2. Representatives are dealt over shards. A task builds its shard's graph, finds the links
    inside it and their components, and writes all to the shared folder.
 3. For each pair of shards a task searches one's graph for the vectors of the other. Its beam
-   is doubled until an audit against brute force finds RECALL of the links of AUDIT vectors, half of them
-   ones that have links. Cosines are verified in double precision.  A vector's links are
+   is doubled until an audit against brute force finds a mean share of RECALL of the links of each
+   vector that has some, among AUDIT drawn from all and half as many that the first beam found
+   links of; links to itself don't count. Cosines are verified in double precision.  A vector's links are
    counted, and one of them for each component of the shard is passed on, so large groups of
    near vectors yield no list of pairs.
 4. Components of these links are the groups.
@@ -90,28 +91,37 @@ class Shard:
         ok = (q[row] * self.unit[node]).sum(axis=1) >= cosine
         return row[ok], node[ok]
 
-    def beam(self, q: np.ndarray, cosine: float) -> int:
-        """A beam's width with which an audit passes; that of all rows passes in any case."""
-        width = BEAM
-        some = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int)) if len(q) else np.zeros(0, int)
-        found, _ = self.search(q[some], cosine, width)
-        linked = []
-        for a in range(0, len(q), _BLOCK):  # vectors that have links, from the whole block of queries
-            if len(linked) >= AUDIT // 2:
+    def beam(self, q: np.ndarray, cosine: float, own: bool = False) -> int:
+        """A beam's width with which an audit passes; that of all rows passes in any case. own: the queries are the shard's rows, whose links to themselves don't count."""
+        if not len(q):
+            return BEAM
+        order = np.random.default_rng(len(q)).permutation(len(q))  # all blocks are drawn from
+        linked: list[int] = []
+        for a in range(0, len(q), _BLOCK):
+            if len(linked) >= AUDIT // 2 or BEAM >= len(self.ids):
                 break
-            linked += (np.unique(self.search(q[a : a + _BLOCK], cosine, width)[0]) + a).tolist()
-        some = np.unique(np.concatenate([some, np.array(linked[: AUDIT // 2], int)]))
-        true = len(self.exact(q[some], cosine)[0])
+            part = np.sort(order[a : a + _BLOCK])
+            row, node = self.search(q[part], cosine, BEAM)
+            some = np.unique(row[part[row] != node] if own else row)
+            linked += np.random.default_rng(a).permutation(part[some]).tolist()
+        some = np.unique(np.concatenate([order[:AUDIT], np.array(linked[: AUDIT // 2], int)]))
+        true = self._others(self.exact(q[some], cosine), some, own)
+        width = BEAM
         while width < len(self.ids):
-            found, _ = self.search(q[some], cosine, width)
-            if len(found) >= RECALL * true:
+            found = self._others(self.search(q[some], cosine, width), some, own)
+            if np.mean(found[true > 0] / true[true > 0]) >= RECALL if true.any() else True:
                 return width
             width *= 2
         return len(self.ids)
 
-    def links(self, q: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def _others(self, pairs: tuple[np.ndarray, np.ndarray], some: np.ndarray, own: bool) -> np.ndarray:
+        """Number of links of each query some[row], without those to itself."""
+        row, node = pairs
+        return np.bincount(row[some[row] != node] if own else row, minlength=len(some))
+
+    def links(self, q: np.ndarray, cosine: float, own: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(offset, query, row) by blocks of queries."""
-        width = self.beam(q, cosine)
+        width = self.beam(q, cosine, own)
         for a in range(0, len(q), _BLOCK):
             row, node = self.search(q[a : a + _BLOCK], cosine, width)
             yield a, row, node
@@ -144,7 +154,7 @@ def _build(root: str, cosine: float):
             return x
 
         counts = np.zeros(n, np.int64)
-        for at, row, node in shard.links(shard.unit, cosine):
+        for at, row, node in shard.links(shard.unit, cosine, own=True):
             other = row + at != node
             row, node = row[other] + at, node[other]
             np.add.at(counts, row, shard.weight[node])
