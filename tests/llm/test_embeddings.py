@@ -130,3 +130,10 @@ def test_audit_of_rare_links_looks_at_linked_vectors_of_all_blocks(monkeypatch):
     shard.beam(shard.unit, 0.9, own=True)
     rows = {q.tobytes() for q in audited[0]}
     assert sum(v.tobytes() in rows for v in shard.unit[720:]) == 80
+
+
+def test_every_row_is_compared_where_no_beam_passes(monkeypatch):
+    unit, shard = skewed()
+    monkeypatch.setattr(embeddings.Shard, "search", lambda self, q, cosine, width: (np.zeros(0, int), np.zeros(0, int)))
+    n = sum(len(row) for _, row, _ in shard.links(unit, 0.9, own=True))
+    assert n == int((unit @ unit.T >= 0.9).sum()) > 400 * 400 // 2

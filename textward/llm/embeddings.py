@@ -6,7 +6,7 @@
 3. For each pair of shards a task searches one's graph for the vectors of the other. Its beam
    is doubled until an audit against brute force finds a mean share of RECALL of the links of each
    vector that has some, among AUDIT drawn from all and half as many that the first beam found
-   links of; links to itself don't count. Cosines are verified in double precision.  A vector's links are
+   links of; links to itself don't count. Where no beam passes, every row is compared. Cosines are verified in double precision.  A vector's links are
    counted, and one of them for each component of the shard is passed on, so large groups of
    near vectors yield no list of pairs.
 4. Components of these links are the groups.
@@ -91,8 +91,8 @@ class Shard:
         ok = (q[row] * self.unit[node]).sum(axis=1) >= cosine
         return row[ok], node[ok]
 
-    def beam(self, q: np.ndarray, cosine: float, own: bool = False) -> int:
-        """A beam's width with which an audit passes; that of all rows passes in any case. own: the queries are the shard's rows, whose links to themselves don't count."""
+    def beam(self, q: np.ndarray, cosine: float, own: bool = False) -> int | None:
+        """A beam's width with which an audit passes, None if none does. own: the queries are the shard's rows, whose links to themselves don't count."""
         if not len(q):
             return BEAM
         order = np.random.default_rng(len(q)).permutation(len(q))  # all blocks are drawn from
@@ -112,7 +112,7 @@ class Shard:
             if np.mean(found[true > 0] / true[true > 0]) >= RECALL if true.any() else True:
                 return width
             width *= 2
-        return len(self.ids)
+        return None
 
     def _others(self, pairs: tuple[np.ndarray, np.ndarray], some: np.ndarray, own: bool) -> np.ndarray:
         """Number of links of each query some[row], without those to itself."""
@@ -120,10 +120,11 @@ class Shard:
         return np.bincount(row[some[row] != node] if own else row, minlength=len(some))
 
     def links(self, q: np.ndarray, cosine: float, own: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(offset, query, row) by blocks of queries."""
+        """(offset, query, row) by blocks of queries; by brute force where no beam passes its audit."""
         width = self.beam(q, cosine, own)
         for a in range(0, len(q), _BLOCK):
-            row, node = self.search(q[a : a + _BLOCK], cosine, width)
+            part = q[a : a + _BLOCK]
+            row, node = self.exact(part, cosine) if width is None else self.search(part, cosine, width)
             yield a, row, node
 
 
