@@ -21,9 +21,21 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group of near copies."""
-    dropped = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row, of the least id, of each group of near copies; rows without an id or words all stay.
+
+    Rows of one id are told apart by their texts. Of rows with equal id and text the least one stays.
+    """
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = neardup.near_duplicates(keyed, id_col="_key", percent=NEAR_PERCENT).where("_key is not null and n_shingles > 0").select("_key", "component_id").distinct()
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    groups = Scratch(spark, "near-copies").keep(found.join(ids, "_key"), "groups")
+    firsts = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    again = groups.where("n > 1").join(firsts, "_key", "left_semi").select("_key")
+    others = groups.join(firsts, "_key", "left_anti").select("_key")
+    if again.isEmpty():
+        return keyed.join(others, "_key", "left_anti").select(*docs.columns)
+    one = keyed.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return keyed.join(others.union(again), "_key", "left_anti").select(*docs.columns).union(one)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

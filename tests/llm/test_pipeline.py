@@ -81,5 +81,14 @@ def test_copies_of_80_to_85_per_cent_are_dropped(spark, sf_dir):
     assert got == {i for i, _ in rows} - dropped
 
 
+def test_repeated_ids_are_decided_by_row(spark, sf_dir):
+    base, other, third = prose(1, 80, 3000), prose(2, 80, 3000), prose(3, 80, 3000)
+    rows = [(3, base, "a"), (7, base + " tail", "a"), (7, other, "a"), (8, third, "b"), (8, third, "a"), (8, third, "a"), (9, other + " tail", "a"), (5, None, "a"), (5, None, "a"), (None, base, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()]
+    want = [(3, base, "a"), (7, other, "a"), (8, third, "a"), (5, None, "a"), (5, None, "a"), (None, base, "a")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_stage_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
