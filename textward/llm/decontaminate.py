@@ -103,7 +103,7 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["k", "n"])
 
     total = np.zeros(len(vocabulary) + 2, np.int64)
-    for k, n in texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for k, n in texts.mapInArrow(words.thrifty(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         total[k] = n
     return total[:-2], int(total[-2]), int(total[-1])
 
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                         names=[id_col, "item_id", "score", "first_word", "n_words"],
                     )
 
-        part = texts.mapInArrow(run, schema)
+        part = texts.mapInArrow(words.thrifty(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -253,5 +253,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                 found = _found(sent.value, batch.column(text_col), seed, min_score)
                 yield batch.filter(pa.array([not m for m in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(words.thrifty(run), docs.schema)
     return out

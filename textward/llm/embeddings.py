@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm import files, hnsw
+from textward.llm import files, hnsw, words
 from textward.llm.components import connected
 from textward.llm.scratch import Scratch
 
@@ -216,7 +216,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     kinds = dealt.select("dim", "shard").distinct()
     kinds = scratch.keep(kinds, "shards")
     pairs = kinds.withColumnRenamed("shard", "s").join(kinds.withColumnRenamed("shard", "t"), "dim").where("s <> t")
-    across = scratch.keep(pairs.repartition(max(1, min(n * n, 4096))).mapInArrow(_cross(root, cosine), _FOUND), "across")
+    across = scratch.keep(pairs.repartition(max(1, min(n * n, 4096))).mapInArrow(words.thrifty(_cross(root, cosine)), _FOUND), "across")
     found = built.union(across)
     counts = found.where(F.col("kind") == _COUNT).groupBy("a").agg(F.sum("b").alias("n"))
     groups = scratch.keep(connected(found.where(F.col("kind") == _EDGE).select("a", "b"), scratch), "groups")

@@ -188,7 +188,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         if n > fit_rows:
             part = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * fit_rows / n))).otherwise(part)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part).select("lang", "text")
-    counts = drawn.mapInArrow(_count, "lang string, kind int, key int, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    counts = drawn.mapInArrow(words.thrifty(_count), "lang string, kind int, key int, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
     number = counts["lang"].map({x: i for i, x in enumerate(languages)})
     table = np.zeros((BUCKETS, max(len(languages), 1)))
@@ -243,5 +243,5 @@ def detect(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(names[best], pa.string()), pa.array(share), pa.ListArray.from_arrays(offsets, spans, type=span)], names=["id", "lang_pred", "score", "spans"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<lang:string,first:bigint,n:bigint>>")
+    out = source.mapInArrow(words.thrifty(run), f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<lang:string,first:bigint,n:bigint>>")
     return out.withColumnRenamed("id", id_col)

@@ -215,7 +215,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     places = "array<struct<label:string,first:bigint,n:bigint>>"
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_words long, base {places}, notices {places}, expressions array<struct<text:string,accepted:boolean,licences:array<string>>>, score double"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(words.thrifty(run), schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

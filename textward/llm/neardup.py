@@ -219,12 +219,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "neardup")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.keep(
-        source.mapInArrow(_sketch(shingle), "id long, n_shingles long, h1 long, h2 long, regs binary"), "sketch"
+        source.mapInArrow(words.thrifty(_sketch(shingle)), "id long, n_shingles long, h1 long, h2 long, regs binary"), "sketch"
     )
     some = sketch.where("n_shingles > 0 and id is not null")
     classes = scratch.keep(some.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("least")), "classes")
     regs = some.join(classes.select(F.col("least").alias("id"), "h1", "h2", "n_shingles"), ["id", "h1", "h2", "n_shingles"], "left_semi").select("id", "regs")
-    buckets = scratch.keep(regs.mapInArrow(_band_rows, "band long, id long"), "bands")
+    buckets = scratch.keep(regs.mapInArrow(words.thrifty(_band_rows), "band long, id long"), "bands")
     centre = buckets.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("last > centre").select("band", "centre")
     stars = buckets.join(centre, "band").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     hoods = scratch.keep(connected(stars, scratch), "hoods")
@@ -255,5 +255,5 @@ def _verified(source: DataFrame, hoods: DataFrame, classes: DataFrame, scratch:
     )
     tasks = member.withColumn("p", F.explode(pairs)).select("id", F.xxhash64("component", "p.i", "p.j").alias("task"), F.when(F.col("p.i") < F.col("p.j"), F.col("p.side")).otherwise(0).alias("side"))
     texts = source.where("id is not null").join(tasks, "id")
-    met = texts.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_meet(shingle, percent), "a long, b long")
+    met = texts.repartition("task").sortWithinPartitions("task", "id").mapInArrow(words.thrifty(_meet(shingle, percent)), "a long, b long")
     return scratch.keep(met, "links")

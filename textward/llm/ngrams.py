@@ -335,7 +335,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shards = 64 if size >= 1 << 60 else min(max(16, size // SHARD_BYTES), 1 << 16)
     bits = int(shards - 1).bit_length()
-    mapped = docs.select(F.col(text_col).alias("text")).mapInArrow(_map(bits), _SCHEMA)
+    mapped = docs.select(F.col(text_col).alias("text")).mapInArrow(words.thrifty(_map(bits)), _SCHEMA)
     merged = scratch.keep(mapped.groupBy("shard").applyInPandas(_pairs_of_shard(root, bits), _SCHEMA), "pairs")
     done = scratch.keep(merged.where("shard >= 0").groupBy("shard").applyInPandas(_words_of_shard(root), _SCHEMA), "words")
     pairs = [np.frombuffer(r.data, np.int64) for r in merged.where("shard < 0").select("data").collect()]  # a few numbers from each shard
@@ -369,5 +369,5 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
                 )
 
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = source.mapInArrow(words.thrifty(run), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
-    rows = texts.join(F.broadcast(known), "id").select("label", "text").mapInArrow(_feature_rows, "label int, x binary").collect()
+    rows = texts.join(F.broadcast(known), "id").select("label", "text").mapInArrow(words.thrifty(_feature_rows), "label int, x binary").collect()
     if not rows:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0))
     pairs = sorted((bytes(r.x), r.label) for r in rows)  # the fit doesn't depend on the order of tasks
@@ -178,4 +178,4 @@ def scored(docs: DataFrame, ranker: Ranker, *, text_col: str = "text", score_col
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*keep, score_col])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != score_col]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{score_col}` double"]))
+    return docs.mapInArrow(words.thrifty(run), ", ".join([*fields, f"`{score_col}` double"]))

@@ -32,8 +32,8 @@ ROW_GROUP = 32 << 20
 PAGE = 64 << 10
 PAGE_ROWS = 1000
 RANGE_BYTES = 128 << 20
-#: Distinct words that a worker keeps the ids of.
-KEPT_WORDS = 2_000_000
+#: Bytes of words' ids that a worker keeps between batches and tasks.
+KEPT_BYTES = 16 << 20
 _OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(ROW_GROUP),
@@ -45,10 +45,8 @@ _OPTIONS = {
 }
 
 
-def word_split(path: str) -> bool:
-    """Whether a tokenizer file drops white space between words that it encodes apart."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def word_split(spec: dict) -> bool:
+    """Whether a tokenizer (its file's content) drops white space between words that it encodes apart."""
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     splits = [s for s in steps if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
@@ -98,14 +96,14 @@ class Encoder:
     from that of the pieces, the words are encoded one by one.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str, kept: int = KEPT_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.kept = word_split(path), kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.by_word, self.kept = word_split(spec), kept
         suffix = spec["model"].get("end_of_word_suffix")
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"]
@@ -174,7 +172,7 @@ class Encoder:
             hashes, rows, starts, ends = words.word_hashes(raw, offs, spans=True, code=words.TABLES.exact)
             pieces = np.zeros(len(starts), np.int64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.kept:
+        if sum(x.nbytes for x in (self.keys, self.at, self.size, self.ids)) > self.kept:
             self.clear()
         k = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
@@ -237,7 +235,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
                 )
                 before += int(offs[-1])
 
-    out = dealt.mapInArrow(run, "part int, doc_id long, local_start long, n_tokens long, ids array<int>")
+    out = dealt.mapInArrow(words.thrifty(run), "part int, doc_id long, local_start long, n_tokens long, ids array<int>")
     out.write.options(**_OPTIONS).parquet(path)
 
 
@@ -267,7 +265,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(table: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of a table from `read`."""
-    return table.select("doc_id", "start", "ids").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.select("doc_id", "start", "ids").mapInArrow(words.thrifty(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import files
+from textward.llm import files, words
 from textward.llm.scratch import Scratch
 
 MAGIC = b"\x1f\x8b\x08"
@@ -126,7 +126,7 @@ def write(pages: DataFrame, root: str, *, min_payload: int = MIN_PAYLOAD, archiv
         if records:
             yield close()
 
-    return both.mapInArrow(run, "path string, bytes long, records long")
+    return both.mapInArrow(words.thrifty(run), "path string, bytes long, records long")
 
 
 class _Input:
@@ -237,7 +237,7 @@ def read(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if rows:
                     yield flush(rows)
 
-    return ranges.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return ranges.mapInArrow(words.thrifty(run), "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def archives_in(spark: SparkSession, root: str) -> DataFrame:

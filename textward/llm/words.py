@@ -8,12 +8,15 @@ distinct words the odds of any collision are about 1 in 40.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+#: Bytes that are hashed at once; a worker's temporary arrays hold eight bytes for each.
+PIECE_BYTES = 1 << 19
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = (0x20, *range(0x09, 0x0E))
@@ -55,15 +58,14 @@ class _Tables:
         self.alnum = alnum_table()
         self.code = mix(self.lower.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
         self.exact = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))  # cases told apart
-        self.power = np.ones(0, dtype=np.uint64)
-        self.inverse = np.ones(0, dtype=np.uint64)
+        self.power = self.inverse = np.ones(0, dtype=np.uint64)
 
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.power) < n:
-            size = max(n, PIECE_BYTES)
-            self.power = _geometric(_BASE, size)
-            self.inverse = _geometric(pow(_BASE, -1, 1 << 64), size)
-        return self.power[:n], self.inverse[:n]
+    def powers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base, and of its inverse, for the bytes of a piece."""
+        if len(self.power) != PIECE_BYTES:
+            self.power = _geometric(_BASE, PIECE_BYTES)
+            self.inverse = _geometric(pow(_BASE, -1, 1 << 64), PIECE_BYTES)
+        return self.power, self.inverse
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -115,28 +117,35 @@ def bounds(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nd
     return starts, ends
 
 
-def _pieces(raw: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about PIECE_BYTES that end between words."""
-    at, n = 0, len(raw)
-    while at < n:
-        end = min(n, at + PIECE_BYTES)
-        while end < n:
-            gap = np.flatnonzero(~inside[raw[end : end + 65536]])
-            if len(gap):
-                end += int(gap[0])
-                break
-            end = min(n, end + 65536)
-        yield at, end
-        at = end
+def _values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The polynomial of each byte range of a piece; a longer range's is the sum of its parts' (see `_joined`)."""
+    power, inverse = TABLES.powers()
+    total = np.empty(len(raw) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(code[raw] * power[: len(raw)], out=total[1:])
+    return (total[ends] - total[starts]) * inverse[starts % PIECE_BYTES]
+
+
+def _joined(value: int, length: int, more: int) -> int:
+    """The polynomial of `length` bytes with another's behind them."""
+    return (value + more * pow(_BASE, length, 1 << 64)) & _M
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each byte range; ranges in one piece of raw."""
-    power, inverse = TABLES.powers(len(raw))
-    total = np.empty(len(raw) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((TABLES.code if code is None else code)[raw] * power, out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """Hash of each byte range (ascending, apart from each other, none empty)."""
+    code = TABLES.code if code is None else code
+    sums = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(raw), PIECE_BYTES):
+        part = raw[at : at + PIECE_BYTES]
+        low, high = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part), "left")
+        if low == high:
+            continue
+        a, b = np.maximum(starts[low:high] - at, 0), np.minimum(ends[low:high] - at, len(part))
+        got = _values(part, a, b, code)
+        if starts[low] < at:  # goes on from the piece before
+            got[0] = _joined(int(sums[low]), at - int(starts[low]), int(got[0]))
+        sums[low:high] = got
+    return mix(sums + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray, spans: bool = False, inside: np.ndarray | None = None, code: np.ndarray | None = None):
@@ -145,25 +154,11 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, spans: bool = False, inside:
     With spans, also the start and end byte of each word in raw. inside: other bytes to make up words;
     code: other codes of bytes.
     """
-    inside = TABLES.inside if inside is None else inside
-    hashes, begins, finishes = [], [], []
-    for at, end in _pieces(raw, inside):
-        part = raw[at:end]
-        inner = offs[np.searchsorted(offs, at, "left") : np.searchsorted(offs, end, "right")] - at
-        starts, ends = bounds(part, inner, inside)
-        hashes.append(hash_spans(part, starts, ends, code))
-        begins.append(starts + at)
-        finishes.append(ends + at)
-    if not hashes:
-        empty = np.zeros(0, np.uint64)
-        rows = np.zeros(len(offs), np.int64)
-        return (empty, rows, np.zeros(0, np.int64), np.zeros(0, np.int64)) if spans else (empty, rows)
-    begin = np.concatenate(begins)
-    rows = np.searchsorted(begin, offs, "left")
-    rows[-1] = len(begin)
-    if spans:
-        return np.concatenate(hashes), rows, begin, np.concatenate(finishes)
-    return np.concatenate(hashes), rows
+    starts, ends = bounds(raw, offs, TABLES.inside if inside is None else inside)
+    hashes = hash_spans(raw, starts, ends, code)
+    rows = np.searchsorted(starts, offs, "left")
+    rows[-1] = len(starts)
+    return (hashes, rows, starts, ends) if spans else (hashes, rows)
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
@@ -187,7 +182,7 @@ def windows(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, out
 
 
-def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about `limit` bytes each (a longer row stands alone)."""
     _, offs = utf8(column)
     at, n = 0, len(offs) - 1
@@ -195,3 +190,40 @@ def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield at, min(end, n)
         at = min(end, n)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt, _LIBC.malloc_trim  # noqa: B018 - looked up here
+except (OSError, AttributeError):  # another C library: freed memory is given back as that one sees fit
+    _LIBC = None
+_M_MMAP_THRESHOLD, _MAPPED = -3, 1 << 18
+
+
+def _begin() -> None:
+    if _LIBC:
+        _LIBC.mallopt(_M_MMAP_THRESHOLD, _MAPPED)
+
+
+def _end() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for a worker that lives on: arrays go back to the system when freed, and the rest when the task ends.
+
+    Workers serve task after task; what allocators hold back for later would count against the
+    executor's memory for good.
+    """
+
+    @wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return outer
