@@ -33,7 +33,7 @@ PAGE = 64 << 10
 PAGE_ROWS = 1000
 RANGE_BYTES = 128 << 20
 #: Bytes of words' ids that a worker keeps between batches and tasks.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 24 << 20
 _OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(ROW_GROUP),
@@ -119,6 +119,17 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
+        self.used = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep the words that a later batch had again, if they are the lesser part; most words occur once."""
+        keep = np.flatnonzero(self.used)
+        if 2 * len(keep) > len(self.keys):
+            return self.clear()
+        size = self.size[keep].astype(np.int64)
+        before = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.at[keep] - before, size) + np.arange(size.sum())]
+        self.keys, self.at, self.size, self.used = self.keys[keep], before, self.size[keep], np.zeros(len(keep), bool)
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -154,6 +165,7 @@ class Encoder:
                 self.keys = np.insert(self.keys, where, keys[some])
                 self.at = np.insert(self.at, where, at)
                 self.size = np.insert(self.size, where, size)
+                self.used = np.insert(self.used, where, False)
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end, and the offset of each text in them."""
@@ -173,11 +185,12 @@ class Encoder:
             pieces = np.zeros(len(starts), np.int64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if sum(x.nbytes for x in (self.keys, self.at, self.size, self.ids)) > self.kept:
-            self.clear()
+            self._forget()
         k = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
         inside = k < len(self.keys)
         new[inside] = self.keys[k[inside]] != distinct[inside]
+        self.used[k[~new]] = True
         if new.any():
             data, at = raw.tobytes(), first[new]
             self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pieces[at])

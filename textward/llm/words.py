@@ -197,7 +197,7 @@ try:
     _LIBC.mallopt, _LIBC.malloc_trim  # noqa: B018 - looked up here
 except (OSError, AttributeError):  # another C library: freed memory is given back as that one sees fit
     _LIBC = None
-_M_MMAP_THRESHOLD, _MAPPED = -3, 1 << 18
+_M_MMAP_THRESHOLD, _MAPPED = -3, 1 << 22
 
 
 def _begin() -> None:
