@@ -135,5 +135,23 @@ def test_audit_of_rare_links_looks_at_linked_vectors_of_all_blocks(monkeypatch):
 def test_every_row_is_compared_where_no_beam_passes(monkeypatch):
     unit, shard = skewed()
     monkeypatch.setattr(embeddings.Shard, "search", lambda self, q, cosine, width: (np.zeros(0, int), np.zeros(0, int)))
-    n = sum(len(row) for _, row, _ in shard.links(unit, 0.9, own=True))
+    n = sum(len(row) for row, _ in shard.links(unit, 0.9, own=True))
     assert n == int((unit @ unit.T >= 0.9).sum()) > 400 * 400 // 2
+
+
+def test_large_clusters_are_united_by_arrays():
+    up = np.arange(9)
+    embeddings.unite(up, np.array([8, 7, 3, 2]), np.array([7, 6, 2, 1]))
+    assert up.tolist() == [0, 1, 1, 1, 4, 5, 6, 6, 6]
+    embeddings.unite(up, np.array([8]), np.array([3]))
+    embeddings.unite(up, np.zeros(0, int), np.zeros(0, int))
+    assert up.tolist() == [0, 1, 1, 1, 4, 5, 1, 1, 1]
+
+
+def test_hot_classes_and_null_vectors(spark, monkeypatch):
+    from textward.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 20)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(200, 3))] + [(1000 + i, [1.0] * 16) for i in range(100)] + [(2000 + i, None) for i in range(50)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), shard_rows=70).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))

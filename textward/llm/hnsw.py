@@ -89,7 +89,7 @@ def _choose(vecs: np.ndarray, centre: np.ndarray, cand: np.ndarray, m: int) -> n
     order = np.argsort(-sim, axis=1, kind="stable")
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
     x = np.take_along_axis(x, order[:, :, None], 1)
-    among = np.einsum("rkd,rjd->rkj", x, x)
+    among = x @ x.transpose(0, 2, 1)
     rows, k = cand.shape
     taken = np.zeros((rows, k), bool)
     nearest = np.full((rows, k), -np.inf, np.float32)  # similarity to the nearest one taken
