@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm import hyperminhash as hmh
-from textward.llm import words
+from textward.llm import skew, words
 from textward.llm.components import connected
 from textward.llm.scratch import Scratch
 
 SHINGLE = 5
 PERCENT = 85
 MARGIN = 0.16
-#: Up to so many sets are compared without looking at their bands.
-FEW = 16
 BLOCK = 4096
 #: Bytes of shingle hashes that one block may hold.
 BLOCK_BYTES = 64 << 20
@@ -134,7 +132,7 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
 
     Linked are sets that share a band and have 100 * |intersection| >= percent * |union|; pairs
     whose estimate is MARGIN below that, or that are already connected, are not verified.
-    A few sets are verified without looking at bands. side: if given, only pairs across sides count.
+    side: if given, only pairs across sides count.
     """
     n = len(sets)
     ends = np.zeros(n + 1, np.int64)
@@ -143,11 +141,10 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
     every = np.concatenate(sets)
     distinct, code = np.unique(every, return_inverse=True)
     mark = np.zeros(len(distinct), np.int32)
-    few = n <= FEW
-    regs = None if few else hmh.registers(every, ends)
+    regs = hmh.registers(every, ends)
     seen = np.zeros((n, n), dtype=bool)
     tree = _Forest(n)
-    for members in [np.arange(n)] if few else _candidates(regs):
+    for members in _candidates(regs):
         for k in range(len(members) - 1):
             x, rest = int(members[k]), members[k + 1 :]
             rest = rest[~seen[x, rest]]
@@ -156,7 +153,7 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             seen[x, rest] = True
             low, high = np.minimum(size[x], size[rest]), np.maximum(size[x], size[rest])
             rest = rest[100 * low >= percent * high]
-            if not few and len(rest):
+            if len(rest):
                 rest = rest[hmh.estimate(regs[x], regs[rest], size[x], size[rest]) >= percent / 100 - MARGIN]
             home = tree.root(x)
             rest = [y for y in rest.tolist() if tree.root(y) != home]
@@ -222,11 +219,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         source.mapInArrow(words.thrifty(_sketch(shingle)), "id long, n_shingles long, h1 long, h2 long, regs binary"), "sketch"
     )
     some = sketch.where("n_shingles > 0 and id is not null")
-    classes = scratch.keep(some.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("least")), "classes")
+    classes = scratch.keep(some.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     regs = some.join(classes.select(F.col("least").alias("id"), "h1", "h2", "n_shingles"), ["id", "h1", "h2", "n_shingles"], "left_semi").select("id", "regs")
     buckets = scratch.keep(regs.mapInArrow(words.thrifty(_band_rows), "band long, id long"), "bands")
     centre = buckets.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("last > centre").select("band", "centre")
-    stars = buckets.join(centre, "band").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = skew.spread(buckets, centre, ["band"], by="id").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     hoods = scratch.keep(connected(stars, scratch), "hoods")
     scratch.drop(buckets)
     links = _verified(source, hoods, classes, scratch, shingle, percent, block)
@@ -234,11 +231,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_class = classes.join(groups.withColumnRenamed("node", "least"), "least", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "least").alias("component")
     )
-    out = sketch.drop("regs").join(by_class, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
+    # only rows with an id and words look for their class
+    known = "n_shingles > 0 and id is not null"
+    rows = sketch.select("id", "n_shingles", "h1", "h2")
+    found = skew.join(rows.where(known), by_class, ["h1", "h2", "n_shingles"], hot=skew.hot(classes, "h1", "n"), by="id").select("id", "n_shingles", "component")
+    out = found.unionByName(rows.where(f"not ({known})").select("id", "n_shingles", F.col("id").alias("component")))
     return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
 
 
@@ -247,7 +246,7 @@ def _verified(source: DataFrame, hoods: DataFrame, classes: DataFrame, scratch:
     weight = classes.groupBy(F.col("least").alias("node")).agg(F.max("n_shingles").alias("w"))
     size = hoods.join(weight, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
     size = size.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("w") * 8 / BLOCK_BYTES)).cast("int"))
-    member = hoods.join(size, "component").select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    member = skew.spread(hoods, size, ["component"], by="node").select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     # task (i, j) with i < j sees blocks i and j, and looks at pairs across them; task (i, i) at pairs inside
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
