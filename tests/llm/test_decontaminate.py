@@ -83,12 +83,54 @@ def test_edge_cases(spark):
     base = documents()[0][1]
     bench = [(1, base), (1, base), (2, None), (None, base), (3, ""), (4, "one two three"), (5, prose(2, 80))]
     b = spark.createDataFrame(bench, "item_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id, r.item_id) for r in dc.leaks(docs, b).collect())
-    assert [(d, i) for _, d, i in got] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 5), (4, 5), (None, 5)]
+    got = sorted(((r.doc_id is None, r.doc_id, r.item_id) for r in dc.leaks(docs, b).collect()), key=str)
+    assert [(d, i) for _, d, i in got] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 5), (4, 5), (6, 4), (7, 4), (None, 5)]
     left = dc.decontaminate(docs, b)
     assert left.columns == docs.columns
-    assert left.count() == docs.count() - 7
+    assert left.count() == docs.count() - 9
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.leaks(docs, none).collect() == [] and dc.decontaminate(docs, none).count() == docs.count()
     empty = spark.createDataFrame([], SCHEMA)
     assert dc.leaks(empty, b).collect() == [] and dc.decontaminate(empty, b).collect() == []
+
+
+def edited(words, r, share):
+    """Words with a share of edits: other words in their place, gaps, and words between them."""
+    out = []
+    for w in words:
+        kind = r.random()
+        out += [w] if kind >= share else [["x%d" % r.randrange(99)], [], [w, "y%d" % r.randrange(99)]][r.randrange(3)]
+    return out
+
+
+def test_no_copy_at_or_above_the_score_is_lost(spark):
+    r = random.Random(5)
+    bench = [(m, ["b%dw%d" % (m, r.randrange(3 * m)) for _ in range(m)]) for m in [*range(1, 31), 45, 64]]
+    docs, want, missed = [], {}, 0
+    for m, item in bench:
+        for k in range(14):
+            i = 100 * m + k
+            text = prose(i, 20).split() + edited(item, r, 0.4 * k / 13) + prose(i + 1, 25).split()
+            docs.append((i, " ".join(text)))
+            for n, other in bench:
+                score = naive(other, text) if set(other) & set(text) else 0
+                if score >= dc.least_score(n, dc.MIN_SCORE) - 1e-9:
+                    want[i, n] = score / (dc.MATCH * n)
+            missed += m >= dc.WHOLE and (i, m) not in want
+    assert missed > 20 and len(want) > 200
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(m, " ".join(w)) for m, w in bench], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.score for x in got.collect()} == want
+
+
+def test_copies_without_an_intact_triple_and_short_items(spark):
+    bench = [(1, "alpha bravo charlie delta echo foxtrot golf hotel"), (2, "one two three four five six seven"), (3, "nine ten"), (4, "zulu")]
+    docs = [(1, "so alpha bravo XX delta echo YY golf hotel"), (2, "One, two, three; four five six seven."), (3, "it is ten nine"), (4, "eight nine-ten eleven zulu zulu"), (5, "two three five")]
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word, r.n_words) for r in got) == [(1, 1, 0.625, 1, 8), (2, 2, 1.0, 0, 7), (4, 3, 1.0, 1, 2), (4, 4, 1.0, 4, 1)]
+
+
+def test_excerpts_of_long_items(spark):
+    item = prose(5, 200, 5000).split()
+    docs = [(1, " ".join(prose(6, 10).split() + item[90:130])), (2, " ".join(item[90:128]))]
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.score, r.first_word, r.n_words) for r in got] == [(1, 0.2, 10, 40)]

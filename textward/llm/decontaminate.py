@@ -1,11 +1,16 @@
 """Test items found in training texts: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased, so
-that punctuation and case don't hide a copy.  An item's seeds are its n-grams that are rare
-by the corpus's word frequencies (their expected number under independence, so a passage
-that has leaked into many documents stays rare).  A seed found in a document names a
-window; if the window has enough of the item's words, local alignment scores it.  The score is
-the alignment's share of the best possible: 1.0 for a whole verbatim copy.
+that punctuation and case don't hide a copy.  The score is the alignment's share of the best possible:
+1.0 for a whole verbatim copy.
+
+An item's seeds are its pairs of neighbouring words, without some that are frequent by the corpus's own word
+frequencies (under independence, so a passage that has leaked into many documents stays rare). An alignment
+of m words that scores at least MIN_SCORE = 0.6 has k matches and at most 2k - 1.2m edits, so
+of the k - 1 steps between matches 1.2m - k - 1 or more are without an edit: at least 0.2m - 1
+pairs stand in the document unbroken. Half of that number are left out, the most frequent ones, and a
+document with the other half of them is aligned: no copy at or above the score is lost. This holds from
+six words on; shorter items are searched for as whole sequences. Long items are also found by an excerpt.
 """
 
 from __future__ import annotations
@@ -22,16 +27,15 @@ from pyspark.sql import functions as F
 from textward.llm import words
 from textward.llm.scratch import bounded
 
-SEED = 3
+SEED = 2
 MIN_SCORE = 0.6
-#: Shorter items name nothing: so few words are found in clean texts too.
-MIN_ITEM_WORDS = 8
-#: A seed is rare if it is expected at most so often in each of a million documents.
-RARE_PER_MILLION = 10.0
-#: Each item has at least so many seeds, its rarest.
-LEAST_SEEDS = 4
-#: Bytes of items that are sent to every task at once; larger benchmarks go block by block.
-BLOCK_BYTES = 64 << 20
+#: Shorter items are found only as they stand: one edit leaves too little of them.
+WHOLE = 6
+#: An alignment worth so many matched words tells, however long its item is.
+EXCERPT = 40
+MIN_ITEM_WORDS = 1
+#: Bytes of items that are sent to every task at once, with about six times as much for their seeds; larger benchmarks go block by block.
+BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 22
 
@@ -55,23 +59,34 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """Test items of one block: their words, and the places of their seeds."""
+    """Test items of one block: their words, the places of their seeds, and the sequences of short ones."""
 
     ids: list[int]
     words: list[np.ndarray]
+    least: np.ndarray  # alignment score that an item needs
+    need: np.ndarray  # seeds that an alignment of it has at least
     seeds: np.ndarray  # sorted
     first: np.ndarray  # offset of each distinct seed in item/at
     item: np.ndarray
     at: np.ndarray
     near: np.ndarray  # filter on the top bits of a hash
+    whole: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: hashes of sequences, sorted, and their items
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in grams of seeds, and the number of the seed at each."""
+        if not len(self.seeds):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         maybe = np.flatnonzero(self.near[grams >> np.uint64(64 - _FILTER_BITS)])
         k = np.minimum(np.searchsorted(self.seeds, grams[maybe]), len(self.seeds) - 1)
         ok = self.seeds[k] == grams[maybe]
         return maybe[ok], k[ok]
 
+    def postings(self, places: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in places, item, place in the item) of each item that has a seed found."""
+        size = self.first[kinds + 1] - self.first[kinds]
+        k = np.repeat(self.first[kinds], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(np.arange(len(places)), size), self.item[k], self.at[k]
+
 
 def _filter(values: np.ndarray) -> np.ndarray:
     out = np.zeros(1 << _FILTER_BITS, bool)
@@ -119,81 +134,112 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list]:
             yield sorted(rows)
 
 
-def prepare(rows: list, texts: DataFrame, seed: int, min_item_words: int) -> Items | None:
+def least_score(m: int, min_score: float) -> float:
+    """The alignment score from which on an item of m words is found; short items have to stand whole."""
+    return MATCH * m if m < WHOLE else MATCH * min(min_score * m, EXCERPT)
+
+
+def unbroken(m: int, min_score: float) -> int:
+    """How many pairs of neighbouring words of an item of m such an alignment has at least, unbroken."""
+    return max(1, min(math.ceil((MATCH * min_score - 1) * m - 1 - 1e-9), EXCERPT - 1))
+
+
+def prepare(rows: list, texts: DataFrame, min_score: float, min_item_words: int) -> Items | None:
     """Items of one block with seeds that are rare in texts; None if no item is long enough."""
     h, at = _hashes(pa.array([r.text for r in rows], pa.string()))
-    kept = [i for i in range(len(rows)) if at[i + 1] - at[i] >= max(min_item_words, seed)]
+    kept = [i for i in range(len(rows)) if at[i + 1] - at[i] >= max(min_item_words, 1)]
     if not kept:
         return None
     own = [h[at[i] : at[i + 1]] for i in kept]
     vocabulary = np.unique(np.concatenate(own))
-    counts, n_words, n_texts = _frequencies(texts, vocabulary)
+    counts, n_words, _ = _frequencies(texts, vocabulary)
     log_share = np.log((counts + 0.5) / (n_words + 0.5 * (len(vocabulary) + 1)))
-    limit = math.log(max(1.0, n_texts * RARE_PER_MILLION / 1e6))
-    seeds, of, where = [], [], []
+    seeds, of, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    need = np.zeros(len(own), np.int64)
+    whole: dict[int, list[tuple[int, int]]] = {}
     for i, w in enumerate(own):
-        part = log_share[np.searchsorted(vocabulary, w)]
-        total = np.concatenate(([0.0], np.cumsum(part)))
-        expected = total[seed:] - total[:-seed] + math.log(n_words + 1)
-        rarest = np.sort(expected)[min(LEAST_SEEDS, len(expected)) - 1]
-        places = np.flatnonzero(expected <= max(limit, rarest))
-        seeds.append(words.combine(w, seed)[places])
-        of.append(np.full(len(places), i))
-        where.append(places)
+        if len(w) < WHOLE:
+            whole.setdefault(len(w), []).append((int(words.combine(w, len(w))[0]), i))
+            continue
+        least = unbroken(len(w), min_score)
+        share = log_share[np.searchsorted(vocabulary, w)]
+        places = np.sort(np.argsort(share[1:] + share[:-1], kind="stable")[: len(w) - 1 - least // 2])
+        need[i] = least - least // 2
+        seeds.append(words.combine(w, SEED)[places])
+        of.append(np.full(len(places), i, np.int32))
+        where.append(places.astype(np.int32))
     seeds, of, where = map(np.concatenate, (seeds, of, where))
     order = np.lexsort((where, of, seeds))
     distinct, first = np.unique(seeds[order], return_index=True)
-    return Items([rows[i].item_id for i in kept], own, distinct, np.append(first, len(order)), of[order], where[order], _filter(distinct))
+    short = {n: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64), strict=True)) for n, v in whole.items()}
+    least = np.array([least_score(len(w), min_score) for w in own])
+    return Items([rows[i].item_id for i in kept], own, least, need, distinct, np.append(first, len(order)), of[order], where[order], _filter(distinct), short)
 
 
-def matches(doc: np.ndarray, hits: np.ndarray, kinds: np.ndarray, items: Items, min_score: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, first word, words) of the best alignment of each item found in doc.
+def match(doc: np.ndarray, starts: np.ndarray, w: np.ndarray, least: float, need: int) -> tuple[float, int, int] | None:
+    """(score, first word, words) of the best alignment of an item in doc, the first of equal ones; None below `least`.
 
-    hits: positions in doc of the seeds kinds.
+    starts: where the item would begin by each seed found, ascending.
     """
-    size = items.first[kinds + 1] - items.first[kinds]
-    posting = np.repeat(items.first[kinds], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    item, start = items.item[posting], np.repeat(hits, size) - items.at[posting]
-    out = []
-    order = np.lexsort((start, item))
-    item, start = item[order], start[order]
-    for mine in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-        w = items.words[item[mine[0]]]
-        m = len(w)
-        pad = max(8, m // 4)
-        best = (0.0, 0, 0)
-        vocabulary = np.unique(w)
-        for near in np.split(start[mine], np.flatnonzero(np.diff(start[mine]) > m + 2 * pad) + 1):
-            low = max(0, int(near[0]) - pad)
-            window = doc[low : max(0, int(near[-1]) + m + pad)]
-            k = np.minimum(np.searchsorted(vocabulary, window), len(vocabulary) - 1)
-            here = np.bincount(k[vocabulary[k] == window], minlength=len(vocabulary))
-            most = np.minimum(here, np.bincount(np.searchsorted(vocabulary, w), minlength=len(vocabulary))).sum()
-            if most < min_score * m:  # no alignment can reach the score
-                continue
-            score, end = align(w, window)
-            if score / (MATCH * m) > best[0]:
-                _, back = align(w[::-1], window[:end][::-1])
-                best = (score / (MATCH * m), low + end - back, back)
-        if best[0] >= min_score:
-            out.append((int(item[mine[0]]), *best))
-    return out
-
-
-def _found(items: Items, text: pa.Array, seed: int, min_score: float) -> list[list[tuple[int, float, int, int]]]:
+    m = len(w)
+    best = (0, 0, 0)
+    vocabulary, own = np.unique(w, return_counts=True)
+    for near in np.split(starts, np.flatnonzero(np.diff(starts) > 3 * m) + 1):
+        if len(near) < need:
+            continue
+        low = max(0, int(near[0]) - m)
+        window = doc[low : max(0, int(near[-1]) + 2 * m)]
+        k = np.minimum(np.searchsorted(vocabulary, window), len(vocabulary) - 1)
+        here = np.bincount(k[vocabulary[k] == window], minlength=len(vocabulary))
+        if MATCH * np.minimum(here, own).sum() < least:  # no alignment can reach the score
+            continue
+        score, end = align(w, window)
+        if score > best[0]:
+            _, back = align(w[::-1], window[:end][::-1])
+            best = (score, low + end - back, back)
+    return (best[0] / (MATCH * m), *best[1:]) if best[0] >= least - 1e-9 else None
+
+
+def _whole(items: Items, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+    """Short items: (document, match) for the first place of each."""
+    for n, (hashes, which) in items.whole.items():
+        at, offs = words.windows(rows, n)
+        if not len(at):
+            continue
+        grams = words.combine(h, n)[at]
+        low, high = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
+        found = np.flatnonzero(high > low)
+        doc = np.searchsorted(offs, found, "right") - 1
+        _, first = np.unique(np.column_stack([doc, low[found]]), axis=0, return_index=True)
+        for f in first:
+            place, d = int(found[f]), int(doc[f])
+            for k in range(int(low[place]), int(high[place])):
+                yield d, (int(which[k]), 1.0, int(at[place] - rows[d]), n)
+
+
+def _found(items: Items, text: pa.Array) -> list[list[tuple[int, float, int, int]]]:
+    """For each text (item number, score, first word, words) of the items in it."""
     out: list[list] = []
     for a, b in words.slices(text):
         h, rows = _hashes(text.slice(a, b - a))
         here: list[list] = [[] for _ in range(b - a)]
-        if len(h) >= seed:
-            places, kinds = items.find(words.combine(h, seed))
-            of = np.searchsorted(rows, places, "right") - 1
-            inside = places + seed <= rows[of + 1]
-            places, kinds, of = places[inside], kinds[inside], of[inside]
-            if len(of):
-                for mine in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
-                    i = int(of[mine[0]])
-                    here[i] = matches(h[rows[i] : rows[i + 1]], places[mine] - rows[i], kinds[mine], items, min_score)
+        for d, found in _whole(items, h, rows):
+            here[d].append(found)
+        places, kinds = items.find(words.combine(h, SEED))
+        of = np.searchsorted(rows, places, "right") - 1
+        inside = places + SEED <= rows[of + 1]
+        which, item, at = items.postings(places[inside], kinds[inside])
+        doc, start = of[inside][which], places[inside][which] - at
+        key = doc * len(items.ids) + item
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+        enough = np.diff(cuts) >= items.need[key[cuts[:-1]] % len(items.ids)] if len(key) else np.zeros(0, bool)
+        for k in np.flatnonzero(enough):
+            i, j = divmod(int(key[cuts[k]]), len(items.ids))
+            got = match(h[rows[i] : rows[i + 1]], start[cuts[k] : cuts[k + 1]] - rows[i], items.words[j], items.least[j], int(items.need[j]))
+            if got:
+                here[i].append((j, *got))
         out += here
     return out
 
@@ -202,12 +248,14 @@ def _source(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, min_score: float = MIN_SCORE, min_item_words: int = MIN_ITEM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, min_item_words: int = MIN_ITEM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_id, score, first_word, n_words): a row for each document and item found in it.
 
-    first_word and n_words tell where the best alignment lies, in words from 0.  Null texts hold
-    nothing; items without id or text, or with fewer than min_item_words words, name nothing;
-    repeated documents and items with different texts are each looked at.  No rows without items.
+    first_word and n_words tell where the best alignment lies, the first of equal ones, in words from 0.
+    Items under WHOLE words are found where they stand whole; longer ones from min_score (0.6 or more) or EXCERPT words
+    on. Null texts hold nothing; items without id, text or words, or with fewer than min_item_words, name nothing.
+    A document that stands twice gives its rows twice, an item that does gives them once; different
+    texts of one item id are each looked for. Columns of other names are not read. No rows without items.
     """
     bounded(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -215,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     schema = f"`{id_col}` {kind}, item_id long, score double, first_word long, n_words long"
     out = None
     for rows in _blocks(_source(benchmark, item_id, item_text), block_bytes):
-        items = prepare(rows, texts.select("text"), seed, min_item_words)
+        items = prepare(rows, texts.select("text"), min_score, min_item_words)
         if items is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -223,7 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             it = sent.value
             for batch in batches:
-                found = _found(it, batch.column("text"), seed, min_score)
+                found = _found(it, batch.column("text"))
                 flat = [(i, *m) for i, ms in enumerate(found) for m in ms]
                 if flat:
                     row, item, score, first, n = zip(*flat, strict=True)
@@ -237,20 +285,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, min_score: float = MIN_SCORE, min_item_words: int = MIN_ITEM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in whose text no item is found (see `leaks`)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, min_item_words: int = MIN_ITEM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in whose text no item is found (see `leaks`); repeated rows each stay or go alike."""
     bounded(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     out = docs
     for rows in _blocks(_source(benchmark, item_id, item_text), block_bytes):
-        items = prepare(rows, texts, seed, min_item_words)
+        items = prepare(rows, texts, min_score, min_item_words)
         if items is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = _found(sent.value, batch.column(text_col), seed, min_score)
+                found = _found(sent.value, batch.column(text_col))
                 yield batch.filter(pa.array([not m for m in found], pa.bool_()))
 
         out = out.mapInArrow(words.thrifty(run), docs.schema)
