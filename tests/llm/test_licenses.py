@@ -91,3 +91,22 @@ def test_long_text(spark):
     r = licenses.digest(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert (r.n_words, r.first_word, r.last_word) == (101004, 100000, 100000)
     assert r.score == pytest.approx(0.5)
+
+
+def test_every_tag_is_parsed_at_its_own_place(spark):
+    rows = [
+        (1, "/* SPDX-License-Identifier: MIT */ x=1; /* SPDX-License-Identifier: GPL-2.0-only */", ["mit"], ["gpl-2.0-only"]),
+        (2, "# SPDX-License-Identifier:\n#   Apache-2.0 OR ISC\ncode", ["apache-2.0", "isc"]),
+        (3, "spdx.license/identifier = (MIT\n   AND Zlib)", ["mit", "zlib"]),
+        (4, "the SPDX license identifier is short; SPDX License Identifier MIT", ["mit"]),
+        (5, "é漢 License-Expression: MIT AND\nnothing", ["mit"]),
+        (6, "PackageLicenseDeclared: LGPL-2.1-only\nPackageLicenseConcluded: NOASSERTION", ["lgpl-2.1-only"], ["noassertion"]),
+        (7, "SPDX-License-Identifier: MIT\n" * 300, *[["mit"]] * 300),
+        (8, "SPDX-License-Identifier:"),
+    ]
+    docs = spark.createDataFrame([(r[0], r[1], 7) for r in rows], "doc_id long, text string, base int")
+    got = {r.doc_id: [list(e.licences) for e in r.expressions] for r in licenses.scan(docs).collect()}
+    assert got == {r[0]: list(r[2:]) for r in rows}
+    assert not licenses.evaluate(licenses.parse(rows[0][1], 70)[0], licenses.ACCEPTED)[0]
+    again = licenses.scan(docs.union(docs)).collect()
+    assert len(again) == 2 * len(rows)

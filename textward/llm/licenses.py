@@ -2,8 +2,9 @@
 
 A text becomes its words (runs of ASCII letters, digits and non-ASCII characters, A-Z
 lower-cased) with single spaces; one automaton finds all notice phrases and identifier tags in
-one pass. After a tag, the expression in the original text is parsed: WITH binds closer than
-AND, AND closer than OR; it is evaluated against a set of accepted licences.
+one pass. Behind each tag's own place the expression in the original text is parsed: WITH binds closer than
+AND, AND closer than OR; it is evaluated against a set of accepted licences. A colon or an equals sign may stand
+between; without one, the expression has to begin with a known identifier, so that prose about tags names none.
 """
 
 from __future__ import annotations
@@ -39,27 +40,65 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
+    "creative commons zero": "cc0",
     "dedicated to the public domain": "public-domain",
+    "released into the public domain": "public-domain",
+    "this is free and unencumbered software": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "permission to use copy modify and or distribute this software": "isc",
+    "permission to use copy modify and distribute this software": "historical",
+    "neither the name of the copyright holder": "bsd-3-clause",
+    "licensed under the mit license": "mit",
+    "licensed under the gnu": "gpl",
+    "gnu free documentation license": "gfdl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "microsoft public license": "ms-pl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "open font license": "ofl",
+    "open data commons": "odc",
+    "zlib license": "zlib",
+    "do what the fuck you want to public license": "wtfpl",
+    "business source license": "busl",
+    "server side public license": "sspl",
 }
-TAG = "spdx license identifier"
+#: Words that an expression follows.
+TAGS = ("spdx license identifier", "license expression", "packagelicensedeclared", "packagelicenseconcluded", "licenseconcluded", "licenseinfoinfile", "licensedeclared")
+#: Identifiers of licences.
+IDENTIFIERS = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause
+BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 BlueOak-1.0.0 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1
+CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-2.0
+GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ISC LGPL-2.0-only LGPL-2.1 LGPL-2.1-only
+LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL
+MS-RL MulanPSL-2.0 NCSA NONE NOASSERTION ODbL-1.0 OFL-1.1 OSL-3.0 PDDL-1.0 PHP-3.01
+PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 UPL-1.0 Unicode-DFS-2016 Unlicense Vim
+W3C WTFPL X11 Zlib ZPL-2.1
+""".lower().split()
 #: Licences that an expression is evaluated against (ids in lower case).
 ACCEPTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "cc0-1.0", "cc-by-4.0", "zlib", "bsl-1.0"})
-_EXPRESSION = re.compile(r"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
+_KNOWN = frozenset(IDENTIFIERS)
+_BETWEEN = re.compile(r"""[\s"'`*#/<>=:|;!-]*""")
+_INLINE = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
+_ACROSS = re.compile(r"[ \t\r\n*#/]*([()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(text: str) -> tuple[list[str], str]:
-    """The expression that text begins with, in postfix order, and the part of text it fills.
+def parse(text: str, start: int = 0) -> tuple[list[str], str]:
+    """The expression that stands in text from start, in postfix order, and the part of text it fills.
 
-    Reads as far as the grammar goes on ("MIT OR ISC */" ends before the comment mark).
-    Returns ([], "") where text begins with no whole expression.
+    Reads as far as the grammar goes on ("MIT OR ISC */" ends before the comment mark), and to the end of
+    the line, but inside parentheses on the next lines too. Returns ([], "") where no whole expression begins there.
     """
     output: list[str] = []
     waiting: list[str] = []
-    at, operand, good, depth = 0, True, ([], 0), 0
-    while m := _TOKEN.match(text, at):
+    at, operand, good, depth = start, True, ([], start), 0
+    while m := (_ACROSS if depth else _INLINE).match(text, at):
         token = m[1]
         word = token.lower()
         if operand:
@@ -86,7 +125,7 @@ def parse(text: str) -> tuple[list[str], str]:
         at = m.end()
         if not operand and not depth:
             good = ([*output, *reversed(waiting)], at)
-    return good[0], text[: good[1]].strip()
+    return good[0], text[start : good[1]].strip()
 
 
 def evaluate(postfix: list[str], accepted: frozenset[str]) -> tuple[bool, list[str]]:
@@ -128,16 +167,17 @@ class Scanner:
         self.accepted = accepted
         self.automaton = ahocorasick.Automaton()
         kinds: dict[str, list[tuple[str, str]]] = {}
-        for kind, phrases in (("base", base), ("notice", notices), ("tag", {TAG: "tag"})):
+        for kind, phrases in (("base", base), ("notice", notices), ("tag", dict.fromkeys(TAGS, "tag"))):
             for phrase, label in phrases.items():
                 kinds.setdefault(phrase, []).append((kind, label))
         for phrase, labels in kinds.items():
             self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, phrase.count(" ") + 1, labels))
         self.automaton.make_automaton()
 
-    def scan(self, clean: str, original: bytes, n_words: int) -> Found:
-        out = Found(n_words, [], [], [])
-        tagged, seen, at = False, 0, 0
+    def scan(self, clean: str, original: bytes, ends: np.ndarray) -> Found:
+        """clean: the text's words (see `clean_words`); ends: where each ends in the original."""
+        out = Found(len(ends), [], [], [])
+        tags, seen, at = [], 0, 0
         for end, (length, n, labels) in self.automaton.iter(clean):
             start = end - length + 1
             if start >= at:
@@ -147,19 +187,20 @@ class Scanner:
                 first = seen - clean.count(" ", start, at)
             for kind, label in labels:
                 if kind == "tag":
-                    tagged = True
+                    tags.append(int(ends[first + n - 1]))
                 else:
                     (out.base if kind == "base" else out.notices).append((label, first, n))
-        if tagged:
-            for m in _EXPRESSION.finditer(original.decode("utf-8", "replace")):
-                postfix, text = parse(m[1])
-                if postfix:
-                    out.expressions.append((text, *evaluate(postfix, self.accepted)))
+        text = original.decode("latin-1") if tags else ""  # one character a byte; expressions are ASCII
+        for place in tags:
+            gap = _BETWEEN.match(text, place)
+            postfix, found = parse(text, gap.end())
+            if postfix and (":" in gap[0] or "=" in gap[0] or postfix[0] in _KNOWN):
+                out.expressions.append((found, *evaluate(postfix, self.accepted)))
         return out
 
 
-def clean_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text as " word word " in lower case, end to end, and the offsets."""
+def clean_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text as " word word " in lower case, end to end, and the offsets; where each word ends in raw, and each text's offset in those."""
     starts, ends = words.bounds(raw, offs, words.TABLES.alnum)
     size = ends - starts
     row = np.searchsorted(offs, starts, "right") - 1
@@ -176,7 +217,7 @@ def clean_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     base = np.concatenate((before, [0]))[first]
     to = out_offs[row] + 1 + before - base[row]
     out[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(size.sum())] = words.TABLES.lower[raw[keep]]
-    return out, out_offs
+    return out, out_offs, ends, np.append(first, len(starts))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, accepted: frozenset[str] = ACCEPTED) -> DataFrame:
@@ -184,7 +225,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
 
     base and notices: all places of their phrases, array of (label, first, n), words from 0;
     overlapping places each count.  expressions: array of (text, accepted, licences), one for
-    each tag that an expression follows.  Null and empty texts have none, with score 0.0.
+    each tag that an expression follows, on the same line or the next.  Null and empty texts have none, with
+    score 0.0.  Repeated rows are each returned; columns of other names are neither read nor returned.
     """
     bounded(docs.sparkSession)
     place = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
@@ -195,11 +237,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
         for batch in batches:
             for a, b in words.slices(batch.column("text")):
                 raw, offs = words.utf8(batch.column("text").slice(a, b - a))
-                clean, at = clean_words(raw, offs)
+                clean, at, ends, of = clean_words(raw, offs)
                 text, data = clean.tobytes(), raw.tobytes()
-                spaces = np.concatenate(([0], np.cumsum(clean == 32)))
-                count = spaces[at[1:]] - spaces[at[:-1]] - 1
-                found = [scanner.scan(text[at[i] : at[i + 1]].decode("utf-8", "replace"), data[offs[i] : offs[i + 1]], int(count[i])) for i in range(b - a)]
+                found = [scanner.scan(text[at[i] : at[i + 1]].decode("utf-8", "replace"), data[offs[i] : offs[i + 1]], ends[of[i] : of[i + 1]] - offs[i]) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(a, b - a),
