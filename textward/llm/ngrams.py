@@ -1,33 +1,35 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark over all training texts.
+"""An interpolated modified Kneser-Ney n-gram model, counted in Spark over all training texts.
 
 Tokens are words (runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased) and one end a
-text; a text's first token follows a begin mark.
-
-Counting: a task merges the pairs of some millions of tokens before it passes them on, as sorted
-arrays for each shard (the top bits of the context's hash). A shard's task merges its arrays and
-writes sorted hash arrays: pairs with counts, contexts with their total and their numbers of
-followers seen once, twice and more often. Its continuation counts (distinct contexts before a
-word) go to the shards of the words, which write the word arrays.
-
-    p(b | a) = max(c(ab) - D(c(ab)), 0) / c(a) + gamma(a) p(b)
-    p(b) = max(k(b) - E(k(b)), 0) / K + gamma / (V + 1)
-
-with k(b) the contexts before b, K their sum, V the distinct tokens, and D and E the discounts
-of modified Kneser-Ney for counts of 1, 2 and more, from counts of counts. Unseen contexts back
-off to p(b), unseen words to the uniform share. Workers map the files and search them for
-the distinct pairs and words of a batch in order of hash.
-
-The order is two: over this corpus's texts three quarters of all trigrams are distinct, and their counts
-would take more than four times the input on disk.
+text; order - 1 begin marks stand before a text.
+
+Counting: a task merges the n-grams of some millions of tokens before it passes them on, as arrays
+for each shard (the top bits of the n-gram's hash): the words that occur and, of each n-gram, the
+numbers of its words among them and its count. A shard's task merges its arrays and writes sorted hash arrays of
+n-grams and counts. It passes on what it adds to contexts (total, and how many followers are seen once, twice
+and more often) to the shards of the contexts, and to n-grams shorter by their first word a continuation count
+of 1 each to theirs, down to single words. So neither a frequent n-gram nor a frequent context stands
+in one task: whatever comes to a shard has been merged before.
+
+    p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + gamma(h) p(w | h without its first word)
+    p(w) = max(k(w) - E(k(w)), 0) / K + gamma / (V + 1)
+
+with c the counts, below the highest order the continuation counts (distinct words before), k(w) the words before
+w, K their sum, V the distinct tokens, and D and E the discounts of modified Kneser-Ney for counts
+of 1, 2 and more, from counts of counts of each order. Unseen contexts back off, unseen words
+to the uniform share. Workers map the files and search them for the distinct n-grams of a batch in order of hash.
+
+ORDER is two: seven in ten of the check corpus's trigrams are distinct, and counting them takes
+more than four times the input on disk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,50 +42,61 @@ END = np.uint64(0x5BE0CD19137E2179)
 #: Tokens that a task merges at once.
 MERGE_TOKENS = 1 << 22
 SHARD_BYTES = 8 << 20
+ORDER = 2
 _BIG = 255
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts (words, then END), the token before each, and each text's offset."""
+def tokens(column: pa.Array, order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """Token hashes of all texts (words, then END), with those 1 .. order - 1 places before, the farthest first; each text's offset."""
     raw, offs = words.utf8(column)
     h, rows = words.word_hashes(raw, offs)
-    n = len(rows) - 1
-    out_rows = rows + np.arange(n + 1)
+    out_rows = rows + np.arange(len(rows))
     out = np.empty(int(out_rows[-1]), np.uint64)
     body = np.ones(len(out), bool)
     body[out_rows[1:] - 1] = False
     out[body] = h
     out[~body] = END
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[out_rows[:-1]] = BEGIN
-    return out, before, out_rows
+    columns = [out]
+    for _ in range(order - 1):
+        before = np.empty_like(out)
+        before[1:] = columns[0][:-1]
+        before[out_rows[:-1]] = BEGIN
+        columns.insert(0, before)
+    return columns, out_rows
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return words.mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of n-grams, given their first words, their second ones and so on; a word is its own."""
+    return reduce(pair_key, columns)
+
+
+_UNSIGNED = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+    head = np.array([len(arrays), *(len(x) for x in arrays), *(x.itemsize for x in arrays)], np.int64)
+    return b"".join([head.tobytes(), *(x.tobytes() for x in arrays)])
 
 
-def unpack(data: bytes, *dtypes) -> list[np.ndarray]:
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, of unsigned numbers, that were packed."""
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    sizes = np.frombuffer(data, np.int64, n, 8)
-    at = 8 * (n + 1) + np.concatenate(([0], np.cumsum(sizes)))
-    return [np.frombuffer(data, t, int(s) // np.dtype(t).itemsize, int(x)) for t, s, x in zip(dtypes, sizes, at, strict=False)]
+    head = np.frombuffer(data, np.int64, 2 * n, 8)
+    at, out = 8 * (2 * n + 1), []
+    for size, width in zip(head[:n].tolist(), head[n:].tolist(), strict=True):
+        out.append(np.frombuffer(data, _UNSIGNED[width], size, at))
+        at += size * width
+    return out
 
 
 def _small(n: np.ndarray) -> np.ndarray:
     """Counts in as few bytes as hold them."""
     top = int(n.max()) if len(n) else 0
-    return n.astype(np.uint8 if top < 256 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
-def _counts(data: np.ndarray, n: int) -> np.ndarray:
-    """The counts that _small stored, n of them, from their bytes."""
-    return data.view({1: np.uint8, 4: np.uint32, 8: np.uint64}[len(data) // n] if n else np.uint8).astype(np.int64)
+    return n.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
 def _by_shard(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,40 +110,56 @@ def _rows(shards, kinds, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], names=["shard", "kind", "data"])
 
 
-WORDS, PAIRS, SEEN = 0, 1, 2
-_SCHEMA = "shard int, kind int, data binary"
+#: What a packed row holds: counts of words, n-grams, words' continuation counts, parts of contexts, numbers for the driver.
+WORDS, GRAMS, SEEN, CONTEXT, STATS = range(5)
+_SCHEMA = "shard int, kind int, level int, data binary"
+
+
+def _rows(shards, kind: int, level: int, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, level, np.int32)), pa.array(data, pa.binary())], names=["shard", "kind", "level", "data"])
+
+
+def _word_rows(keys: np.ndarray, n: np.ndarray, kind: int, bits: int) -> pa.RecordBatch:
+    """Sorted words with a number each, by the words' shards."""
+    shards, cuts = _by_shard(keys, bits)
+    return _rows(shards, kind, 1, [pack(keys[x:y], _small(n[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
-def _merge(a: list[np.ndarray], b: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    a, b = np.concatenate(a), np.concatenate(b)
-    word, n = np.unique(b, return_counts=True)
-    shards, cuts = _by_shard(word, bits)
-    yield _rows(shards, [WORDS] * len(shards), [pack(word[x:y], _small(n[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
-    _, at, n = np.unique(pair_key(a, b), return_index=True, return_counts=True)
-    order = np.argsort(a[at], kind="stable")
-    a, b, n = a[at][order], b[at][order], n[order]
-    shards, cuts = _by_shard(a, bits)
+def _gram_rows(columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """N-grams, merged, with how often each stands in columns, by their shards."""
+    key, at, n = np.unique(gram_key(columns), return_index=True, return_counts=True)
+    shards, cuts = _by_shard(key, bits)
     data = []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        context, first = np.unique(a[x:y], return_index=True)
-        data.append(pack(context, _small(np.diff(np.append(first, y - x))), b[x:y], _small(n[x:y])))
-    yield _rows(shards, [PAIRS] * len(shards), data)
+        own, code = np.unique(np.concatenate([c[at[x:y]] for c in columns]), return_inverse=True)
+        data.append(pack(own, *[_small(c) for c in code.reshape(len(columns), -1)], _small(n[x:y])))
+    return _rows(shards, GRAMS, len(columns), data)
 
 
-def _map(bits: int):
+def _merge(columns: list[list[np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+    word, n = np.unique(columns[-1], return_counts=True)
+    yield _word_rows(word, n, WORDS, bits)
+    if len(columns) > 1:
+        yield _gram_rows(columns, bits)
+    else:
+        yield _word_rows(word, n, SEEN, bits)
+
+
+def _map(bits: int, order: int = ORDER):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for x, y in words.slices(batch.column("text")):
-                token, before, _ = tokens(batch.column("text").slice(x, y - x))
-                a.append(before)
-                b.append(token)
-                size += len(token)
+                columns, _ = tokens(batch.column("text").slice(x, y - x), order)
+                held.append(columns)
+                size += len(columns[0])
                 if size >= MERGE_TOKENS:
-                    yield from _merge(a, b, bits)
-                    a, b, size = [], [], 0
+                    yield from _merge(held, bits)
+                    held, size = [], 0
         if size:
-            yield from _merge(a, b, bits)
+            yield from _merge(held, bits)
 
     return run
 
@@ -147,75 +176,77 @@ def _counts_of_counts(n: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
 
 
-def _pairs_of_shard(root: str, bits: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(key[0])
-        wk, wn, pa_, pb, pn = [], [], [], [], []
-        for kind, data in zip(frame["kind"], frame["data"], strict=True):
+def _grams_of_shard(root: str, bits: int, level: int):
+    """Writes a shard's n-grams of so many words; passes on parts of contexts and the n-grams of one word less."""
+
+    def run(key, table):
+        shard, out = key[0].as_py(), []
+        parts, counts, found, times = [], [], [], []
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            own, *code = unpack(data)
             if kind == WORDS:
-                k, n = unpack(data, np.uint64, np.uint8)
-                wk.append(k)
-                wn.append(_counts(n, len(k)))
+                found.append(own)
+                times.append(code[0])
             else:
-                c, m, b, n = unpack(data, np.uint64, np.uint8, np.uint64, np.uint8)
-                pa_.append(np.repeat(c, _counts(m, len(c))))
-                pb.append(b)
-                pn.append(_counts(n, len(b)))
-        out = []
-        word, n = _add(wk, wn)
-        if len(word):
-            out.append((shard, WORDS, pack(word, _small(n))))
-        coc = np.zeros(4, np.int64)
-        if pb:
-            a, b, n = np.concatenate(pa_), np.concatenate(pb), np.concatenate(pn)
-            k, at, inverse = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, n, len(k)).astype(np.int64)
-            a, b = a[at], b[at]
-            coc = _counts_of_counts(n)
-            context, of = np.unique(a, return_inverse=True)
-            total = np.bincount(of, n).astype(np.uint32 if n.sum() < 1 << 32 else np.uint64)
-            followers = [np.bincount(of, m, len(context)).astype(np.uint32) for m in (n == 1, n == 2, n >= 3)]
-            big = np.flatnonzero(n >= _BIG)
-            _save(root, "pair", shard, key=k, count=np.minimum(n, _BIG).astype(np.uint8), big=big.astype(np.int64), bigs=n[big])
-            _save(root, "context", shard, key=context, total=total.astype(np.int64), one=followers[0], two=followers[1], more=followers[2])
-            word, n = np.unique(b, return_counts=True)
-            shards, cuts = _by_shard(word, bits)
-            out += [(int(s), SEEN, pack(word[x:y], _small(n[x:y]))) for s, x, y in zip(shards, cuts[:-1], cuts[1:], strict=True)]
-        out.append((-1, PAIRS, np.append(coc, shard if pb else -1).astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["shard", "kind", "data"])
+                parts.append([own[c] for c in code[:-1]])
+                counts.append(code[-1])
+        if found:
+            out.append(_rows([shard], WORDS, 1, [pack(*(x if k == 0 else _small(x) for k, x in enumerate(_add(found, times))))]))
+        if not parts:
+            return pa.Table.from_batches(out)
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        k, at, inverse = np.unique(gram_key(columns), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+        columns = [c[at] for c in columns]
+        big = np.flatnonzero(n >= _BIG)
+        _save(root, f"gram{level}", shard, key=k, count=np.minimum(n, _BIG).astype(np.uint8), big=big.astype(np.int64), bigs=n[big])
+        context, of = np.unique(gram_key(columns[:-1]), return_inverse=True)
+        parts = [np.bincount(of, n, len(context)).astype(np.int64)] + [np.bincount(of, m, len(context)).astype(np.int64) for m in (n == 1, n == 2, n >= 3)]
+        shards, cuts = _by_shard(context, bits)
+        out.append(_rows(shards, CONTEXT, level, [pack(context[x:y], *[_small(c[x:y]) for c in parts]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]))
+        if level > 2:
+            out.append(_gram_rows(columns[1:], bits))
+        else:
+            out.append(_word_rows(*np.unique(columns[-1], return_counts=True), SEEN, bits))
+        out.append(_rows([-1], STATS, level, [np.append(_counts_of_counts(n), shard).astype(np.int64).tobytes()]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _words_of_shard(root: str):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(key[0])
-        got = {WORDS: ([], []), SEEN: ([], [])}
-        for kind, data in zip(frame["kind"], frame["data"], strict=True):
-            k, n = unpack(data, np.uint64, np.uint8)
-            got[kind][0].append(k)
-            got[kind][1].append(_counts(n, len(k)))
-        word, n = _add(*got[WORDS])
-        seen_key, seen = _add(*got[SEEN])
-        before = np.zeros(len(word), np.int64)
-        before[np.searchsorted(word, seen_key)] = seen
-        _save(root, "word", shard, key=word, count=n, before=before)
-        stats = np.concatenate((_counts_of_counts(before), [len(word), n.sum(), before.sum()])).astype(np.int64)
-        return pd.DataFrame([(shard, WORDS, stats.tobytes())], columns=["shard", "kind", "data"])
-
-    return run
+def _words_and_contexts(root: str):
+    """Writes a shard's words, and its contexts of each order."""
 
+    def run(key, table):
+        shard = key[0].as_py()
+        got: dict[tuple[int, int], tuple[list, list]] = {}
+        for kind, level, data in zip(*(table.column(c).to_pylist() for c in ("kind", "level", "data")), strict=True):
+            k, *n = unpack(data)
+            keys, counts = got.setdefault((kind, level), ([], []))
+            keys.append(k)
+            counts.append(n)
+        out = []
+        for (kind, level), (keys, counts) in got.items():
+            if kind == CONTEXT:
+                k, of = np.unique(np.concatenate(keys), return_inverse=True)
+                sums = [_small(np.bincount(of, np.concatenate(c), len(k)).astype(np.int64)) for c in zip(*counts, strict=True)]
+                _save(root, f"context{level}", shard, key=k, total=sums[0], one=sums[1], two=sums[2], more=sums[3])
+                out.append(_rows([-1], CONTEXT, level, [np.array([shard], np.int64).tobytes()]))
+        if (WORDS, 1) in got:
+            word, n = _add(got[WORDS, 1][0], [c[0] for c in got[WORDS, 1][1]])
+            seen_key, seen = _add(got[SEEN, 1][0], [c[0] for c in got[SEEN, 1][1]])  # every word has something before it
+            before = np.zeros(len(word), np.int64)
+            before[np.searchsorted(word, seen_key)] = seen
+            _save(root, "word", shard, key=word, count=n, before=before)
+            out.append(_rows([-1], WORDS, 1, [np.concatenate((_counts_of_counts(before), [len(word), n.sum(), before.sum(), shard])).astype(np.int64).tobytes()]))
+        return pa.Table.from_batches(out)
 
-_TYPES = {
-    "pair": {"key": np.uint64, "count": np.uint8, "big": np.int64, "bigs": np.int64},
-    "context": {"key": np.uint64, "total": np.int64, "one": np.uint32, "two": np.uint32, "more": np.uint32},
-    "word": {"key": np.uint64, "count": np.int64, "before": np.int64},
-}
+    return run
 
 
 def _save(root: str, what: str, shard: int, **arrays: np.ndarray) -> None:
-    for name, kind in _TYPES[what].items():
-        files.publish(f"{root}/{what}-{shard:05d}.{name}", [arrays[name].astype(kind).tobytes()])
+    for name, values in arrays.items():
+        files.publish(f"{root}/{what}-{shard:05d}.{name}", [np.ascontiguousarray(values).tobytes()])
 
 
 def discounts(coc: np.ndarray) -> np.ndarray:
@@ -237,12 +268,12 @@ def discounts(coc: np.ndarray) -> np.ndarray:
 class Model:
     root: str
     bits: int
-    word_shards: frozenset[int]
-    pair_shards: frozenset[int]
-    pair_discount: np.ndarray
+    order: int
+    shards: dict[str, frozenset[int]]  # of words, and of the n-grams and contexts of each order
+    gram_discount: dict[int, np.ndarray]
     word_discount: np.ndarray
     gamma: float
-    seen: int  # distinct pairs
+    seen: int  # sum of the words' continuation counts
     distinct: int  # V
     total: int  # N
 
@@ -253,115 +284,128 @@ class Tables:
     def __init__(self, model: Model) -> None:
         self.model, self.open = model, {}
 
-    def array(self, what: str, shard: int, name: str) -> np.ndarray:
-        key = (what, shard, name)
-        if key not in self.open:
-            self.open[key] = files.mapped(f"{self.model.root}/{what}-{shard:05d}.{name}", _TYPES[what][name])
-        return self.open[key]
-
-    def find(self, what: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys (sorted) a shard holds, and where."""
-        held = self.array(what, shard, "key")
-        k = np.minimum(np.searchsorted(held, keys), max(len(held) - 1, 0))
-        ok = held[k] == keys if len(held) else np.zeros(len(keys), bool)
-        return ok, k[ok]
+    def array(self, what: str, shard: int, name: str, dtype=None) -> np.ndarray:
+        """An array of a shard; without a dtype, of numbers in as many bytes as the file has for each key."""
+        at = (what, shard, name)
+        if at not in self.open:
+            uri = f"{self.model.root}/{what}-{shard:05d}.{name}"
+            data = files.mapped(uri, dtype or np.uint8)
+            self.open[at] = data if dtype else data.view(_UNSIGNED[len(data) // len(self.array(what, shard, "key", np.uint64))])
+        return self.open[at]
+
+    def find(self, what: str, h: np.ndarray, fields: dict[str, type | None], big: bool = False) -> list[np.ndarray]:
+        """The fields of sorted keys, 0 where the model has none."""
+        out = [np.zeros(len(h), np.int64) for _ in fields]
+        shards, cuts = _by_shard(h, self.model.bits)
+        for s, x, y in zip(shards.tolist(), cuts[:-1], cuts[1:], strict=True):
+            if s not in self.model.shards.get(what, ()):
+                continue
+            held = self.array(what, s, "key", np.uint64)
+            k = np.minimum(np.searchsorted(held, h[x:y]), len(held) - 1)
+            ok = held[k] == h[x:y]
+            k = k[ok]
+            for o, (name, dtype) in zip(out, fields.items(), strict=True):
+                n = self.array(what, s, name, dtype)[k].astype(np.int64)
+                large = np.flatnonzero(n == _BIG) if big else ()
+                if len(large):
+                    n[large] = self.array(what, s, "bigs", np.int64)[np.searchsorted(self.array(what, s, "big", np.int64), k[large])]
+                o[x:y][ok] = n
+        return out
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count, and Kneser-Ney probability, of each word of sorted h."""
         m = self.model
-        count, before = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        shards, cuts = _by_shard(h, m.bits)
-        for s, x, y in zip(shards.tolist(), cuts[:-1], cuts[1:], strict=False):
-            if s in m.word_shards:
-                ok, k = self.find("word", s, h[x:y])
-                count[x:y][ok] = self.array("word", s, "count")[k]
-                before[x:y][ok] = self.array("word", s, "before")[k]
+        count, before = self.find("word", h, {"count": np.int64, "before": np.int64})
         own = np.maximum(before - m.word_discount[np.minimum(before, 3)], 0) / max(m.seen, 1)
         return count, own + m.gamma / (m.distinct + 1)
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share of the pair's own count, and weight of backing off, for pairs sorted by shard of a and pair_key."""
-        m = self.model
-        own, gamma = np.zeros(len(a)), np.ones(len(a))
-        key = pair_key(a, b)
-        shard = (a >> np.uint64(64 - m.bits)).astype(np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(a)])) if len(a) else np.zeros(1, np.int64)
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            s = int(shard[x])
-            if s not in m.pair_shards:
-                continue
-            context, of = np.unique(a[x:y], return_inverse=True)
-            ok, k = self.find("context", s, context)
-            total, back = np.zeros(len(context)), np.ones(len(context))
-            total[ok] = self.array("context", s, "total")[k]
-            back[ok] = sum(m.pair_discount[i] * self.array("context", s, n)[k] for i, n in enumerate(("one", "two", "more"), 1)) / total[ok]
-            gamma[x:y] = back[of]
-            ok, k = self.find("pair", s, key[x:y])
-            n = self.array("pair", s, "count")[k].astype(np.int64)
-            large = np.flatnonzero(n == _BIG)
-            if len(large):
-                n[large] = self.array("pair", s, "bigs")[np.searchsorted(self.array("pair", s, "big"), k[large])]
-            own[x:y][ok] = (n - m.pair_discount[np.minimum(n, 3)]) / total[of[ok]]
-        return own, gamma
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams: the share of their own counts, and the weight of backing off."""
+        level = len(columns)
+        discount = self.model.gram_discount[level]
+        context = gram_key(columns[:-1])
+        key, of = np.unique(pair_key(context, columns[-1]), return_inverse=True)
+        (n,) = self.find(f"gram{level}", key, {"count": np.uint8}, big=True)
+        n = n[of]
+        key, of = np.unique(context, return_inverse=True)
+        total, *followers = self.find(f"context{level}", key, dict.fromkeys(("total", "one", "two", "more")))
+        known = np.maximum(total, 1)
+        gamma = np.where(total > 0, sum(d * f for d, f in zip(discount[1:], followers, strict=True)) / known, 1.0)
+        return np.where(n > 0, n - discount[np.minimum(n, 3)], 0.0) / known[of], gamma[of]
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         m = self.model
-        token, before, rows = tokens(column)
+        columns, rows = tokens(column, m.order)
         n = len(rows) - 1
-        word, of_word = np.unique(token, return_inverse=True)
+        word, of_word = np.unique(columns[-1], return_inverse=True)
         count, p_word = self.words(word)
-        key = pair_key(before, token)
-        _, first, of_pair = np.unique(key, return_index=True, return_inverse=True)
-        a, b = before[first], token[first]
-        order = np.argsort(a >> np.uint64(64 - m.bits), kind="stable")  # by shard, then by key
-        own, gamma = np.empty(len(a)), np.empty(len(a))
-        own[order], gamma[order] = self.pairs(a[order], b[order])
-        log_p = np.log10(own + gamma * p_word[of_word[first]])
+        _, first, of_gram = np.unique(gram_key(columns), return_index=True, return_inverse=True)
+        p = p_word[of_word[first]]
+        distinct = [c[first] for c in columns]
+        for level in range(2, m.order + 1):
+            own, gamma = self.grams(distinct[m.order - level :])
+            p = own + gamma * p
+        log_p = np.log10(p)
         base = np.log10((count + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
         row = np.repeat(np.arange(n), np.diff(rows))
         return {
             "n_tokens": np.diff(rows).astype(np.int64),
             "n_known": np.bincount(row, (count > 0)[of_word], n).astype(np.int64),
             "base_score": np.bincount(row, base[of_word], n),
-            "score": np.bincount(row, log_p[of_pair], n),
+            "score": np.bincount(row, log_p[of_gram], n),
         }
 
 
-def train(docs: DataFrame, *, text_col: str = "text") -> Model:
-    """Count all texts (null: empty, one end token). Without texts every token has probability 1."""
+def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Model:
+    """Count all texts (null: empty, one end token). Without texts every token has probability 1.
+
+    A text that stands twice counts twice. Columns of other names are not read.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     root = scratch.path("model")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shards = 64 if size >= 1 << 60 else min(max(16, size // SHARD_BYTES), 1 << 16)
     bits = int(shards - 1).bit_length()
-    mapped = docs.select(F.col(text_col).alias("text")).mapInArrow(words.thrifty(_map(bits)), _SCHEMA)
-    merged = scratch.keep(mapped.groupBy("shard").applyInPandas(_pairs_of_shard(root, bits), _SCHEMA), "pairs")
-    done = scratch.keep(merged.where("shard >= 0").groupBy("shard").applyInPandas(_words_of_shard(root), _SCHEMA), "words")
-    pairs = [np.frombuffer(r.data, np.int64) for r in merged.where("shard < 0").select("data").collect()]  # a few numbers from each shard
-    coc = sum((p[:4] for p in pairs), np.zeros(4, np.int64))
-    rows = done.select("shard", "data").collect()
-    stats = sum((np.frombuffer(r.data, np.int64) for r in rows), np.zeros(7, np.int64))
-    scratch.drop(merged)
+    mapped = docs.select(F.col(text_col).alias("text")).mapInArrow(words.thrifty(_map(bits, order)), _SCHEMA)
+    step, levels = mapped, []
+    for level in range(order, 1, -1):
+        mine = step.where(F.col("kind").isin(GRAMS, WORDS) if level == order else F.col("kind") == GRAMS)
+        step = scratch.keep(mine.groupBy("shard").applyInArrow(_grams_of_shard(root, bits, level), _SCHEMA), f"grams{level}")
+        levels.append(step)
+    parts = reduce(DataFrame.unionByName, levels or [mapped]).where(F.col("kind").isin(WORDS, SEEN, CONTEXT))
+    done = scratch.keep(parts.groupBy("shard").applyInArrow(_words_and_contexts(root), _SCHEMA), "words")
+    told = reduce(DataFrame.unionByName, [t.where("shard < 0") for t in levels], done).collect()  # a few numbers from each shard
+    for t in levels:
+        scratch.drop(t)
+    numbers: dict[tuple[int, int], list[np.ndarray]] = {}
+    for r in told:
+        numbers.setdefault((r.kind, r.level), []).append(np.frombuffer(r.data, np.int64))
+    grams = {level: numbers.get((STATS, level), []) for level in range(2, order + 1)}
+    coc = {level: sum((x[:4] for x in g), np.zeros(4, np.int64)) for level, g in grams.items()}
+    own = numbers.get((WORDS, 1), [])
+    stats = sum((x[:7] for x in own), np.zeros(7, np.int64))
+    held = {"word": own} | {f"gram{level}": g for level, g in grams.items()} | {f"context{level}": numbers.get((CONTEXT, level), []) for level in grams}
     word_discount = discounts(stats[:4])
     distinct, total, seen = (int(x) for x in stats[4:])
     # every training token has a token or the begin mark before it, so all are counted
     gamma = 1.0 if not seen else float(word_discount[1] * stats[0] + word_discount[2] * stats[1] + word_discount[3] * (distinct - stats[0] - stats[1])) / seen
-    return Model(root, bits, frozenset(r.shard for r in rows), frozenset(int(p[4]) for p in pairs if p[4] >= 0), discounts(coc), word_discount, gamma, seen, distinct, total)
+    return Model(root, bits, order, {k: frozenset(int(x[-1]) for x in v) for k, v in held.items()}, {k: discounts(c) for k, c in coc.items()}, word_discount, gamma, seen, distinct, total)
 
 
 def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     score: log10 probability of the text (perplexity is 10 ** (-score / n_tokens)); base_score: under
-    the unigram model with half a count added.  Null texts are as empty ones: one end token.
+    the unigram model with half a count added.  Null texts are as empty ones: one end token.  Repeated rows
+    are each scored; columns of other names are neither read nor returned.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(model)
         for batch in batches:
-            for x, y in words.slices(batch.column("text"), 1 << 23):
+            for x, y in words.slices(batch.column("text"), 1 << 22):
                 got = tables.score(batch.column("text").slice(x, y - x))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(x, y - x), pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(np.full(y - x, model.total)), pa.array(got["base_score"]), pa.array(got["score"])],
