@@ -102,3 +102,31 @@ def test_edge_cases(spark):
 def test_no_python_on_the_main_path(spark):
     plan = mixing.mixed(spark.createDataFrame([(1, "a", "x y")], "doc_id long, source string, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_documents_stand_in_the_order_of_the_schedule(spark):
+    docs = [(i, "abc"[i % 3], prose(i, 40), -7, -8) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, _n int, row int").repartition(3)
+    out = mixing.mixed_documents(df, block_words=100)
+    assert out.columns == df.columns
+    places = out.selectExpr("*", "spark_partition_id() as p", "monotonically_increasing_id() as m").orderBy("p", "m").collect()
+    assert all((r._n, r.row) == (-7, -8) for r in places)
+    mix = mixing.Mix(df, block_words=100)
+    words_ = mix.words.orderBy("slot", "first").collect()
+    sums, order = {}, []
+    for w in words_:
+        k = (w.doc_id, w["pass"])
+        if k not in sums:
+            order.append(k)
+        sums[k] = sums.get(k, 0) + w.n
+    assert [r.doc_id for r in places] == [i for i, p in order if 2 * sums[i, p] >= 40]
+
+
+def test_repeated_rows_share_their_places(spark):
+    docs = [(i // 3, "a", prose(i // 3, 30)) for i in range(60)] + [(100 + i, "b", prose(i, 50)) for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = mixing.mixed_documents(df).groupBy("doc_id").count().collect()
+    taken = {r.doc_id: r.t for r in mixing.mixed(df).groupBy("doc_id").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    size = {i: len(t.split()) for i, _, t in docs}
+    assert all(abs(r["count"] * size[r.doc_id] - taken[r.doc_id]) <= size[r.doc_id] for r in got)
+    assert sum(r["count"] for r in got if r.doc_id < 100) > 20

@@ -1,11 +1,14 @@
 """The pipeline's stages over a small corpus with known faults, and its whole result."""
 
+import itertools
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from textward.llm import queries
 
-from .cases import prose
+from .cases import documents, prose, words
 
 
 @pytest.fixture(scope="module")
@@ -44,21 +47,59 @@ def test_each_stage_decides_on_its_own_input(spark, sf_dir):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= ids[3]
 
 
-def test_whole_run(spark, sf_dir):
+def test_whole_run(spark, sf_dir, tmp_path):
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()), key=lambda r: r[1])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
     import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
     want, start = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id, r.text)):
+    rows = docs.select("*", "_metadata.file_name", "_metadata.row_index").collect()
+    for r in sorted(rows, key=lambda r: (r.file_name, r.row_index)):
         n = len(whole.encode(r.text, add_special_tokens=False).ids) + 1
         want.append((r.doc_id, start, n))
         start += n
     assert [r[:3] for r in got] == want
+    # sources alternate as in the schedule
+    sources = [r.source for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))]
+    assert want != sorted(want) and max(len(list(g)) for _, g in itertools.groupby(sources)) < len(sources) // 2
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, row int, place int, slot int, key int, n int, k int, _score double, _n int, part int"
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, stage, tmp_path):
+    tail = (0.5, 1, 2, 3, 4, 5, 6, 7, 8.0, 9, 10)
+    rows = [(*r[:5], *tail) for r in documents()]
+    spark.createDataFrame(rows, CLASH).repartition(3).write.parquet(f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd")
+    out = stage(spark, docs, sf_dir)
+    got = out.collect()
+    if stage is corpus_pipeline.encode_tokens:
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+        assert [r.n_tokens for r in got if r.doc_id in (9, 10, 11)] == [1, 1, 1]
+    else:
+        assert out.columns == docs.columns and all(tuple(r)[5:] == tail for r in got)
+        assert {str(tuple(r)) for r in got} <= {str(r) for r in rows}
+    none = stage(spark, docs.limit(0), sf_dir)
+    assert none.collect() == []
+
+
+def test_what_stages_do_with_nulls_and_repeats(spark, sf_dir):
+    rows = [(*r[:5], r[6]) for r in documents()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long")
+    counted = lambda f: Counter((r.doc_id, r.text) for r in f(spark, docs, sf_dir).collect())
+    every = Counter((r[0], r[1]) for r in rows)
+    near = counted(corpus_pipeline.drop_near_copies)
+    assert near == Counter({k: 1 for k in every if k[0] not in (1, 2, 3, 7)} | {(None, None): 1, (None, rows[4][1]): 1})
+    assert counted(corpus_pipeline.drop_test_items) == every  # no item in them
+    mixed = counted(corpus_pipeline.mix_sources)
+    assert set(mixed) <= {k for k in every if words(k[1])} and all(n <= 2 * every[k] for k, n in mixed.items())
 
 
 def test_copies_of_80_to_85_per_cent_are_dropped(spark, sf_dir):

@@ -30,6 +30,8 @@ CHUNK_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = (math.sqrt(5) - 1) / 2
 _CELLS = 1024
+#: Bytes of documents that a partition of the mix holds, roughly.
+PART_BYTES = 128 << 20
 
 
 def running(df: DataFrame, keys: list[str], order: list, value: Column, out: str) -> DataFrame:
@@ -40,7 +42,7 @@ def running(df: DataFrame, keys: list[str], order: list, value: Column, out: str
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select(*keys, "chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(chunks, [*keys, "chunk"])
+    df = df.join(chunks.hint("merge"), [*keys, "chunk"])  # grows with df
     return df.withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_base")
 
 
@@ -95,7 +97,8 @@ def slots(sources: DataFrame, block_words: int, scratch: Scratch) -> DataFrame:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"))
+    row = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"), row.alias("row"))
 
 
 class Mix:
@@ -110,8 +113,8 @@ class Mix:
         rows = rows.join(self.sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         place = F.xxhash64(F.col("doc_id"), F.lit(20))
         rows = rows.withColumn("place", place).withColumn("chunk", F.pmod(F.col("place"), F.lit(chunks)))
-        rows = running(rows, ["src"], ["place", "doc_id", "size"], F.col("size"), "start")
-        self.rows = self.scratch.keep(rows.select("doc_id", "src", "source", "size", "source_size", "target", "start"), "rows")
+        rows = running(rows, ["src"], ["place", "doc_id", "size", "row"], F.col("size"), "start")
+        self.rows = self.scratch.keep(rows.select("doc_id", "src", "source", "size", "row", "source_size", "target", "start"), "rows")
         self.schedule = self.scratch.keep(slots(self.sources, block_words, self.scratch), "slots")
 
     @property
@@ -128,16 +131,29 @@ class Mix:
     def words(self) -> DataFrame:
         """(slot, pass, doc_id, src, start, block, first, n): the words of documents that each slot takes."""
         n = F.least("last", "length") - F.col("first")
-        return self.pieces.join(self.schedule, ["src", "block"]).select("slot", "pass", "doc_id", "src", "start", "block", "first", n.alias("n")).where("n > 0")
+        return self.pieces.join(self.schedule.hint("merge"), ["src", "block"]).select("slot", "pass", "doc_id", "src", "start", "block", "first", n.alias("n")).where("n > 0")
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) for every row of docs."""
         sums = self.words.groupBy("src", "start").agg(F.sum("n").alias("taken"))
-        some = self.rows.where("size > 0").join(sums, ["src", "start"], "left")
+        some = self.rows.where("size > 0").join(sums.hint("merge"), ["src", "start"], "left")
         none = self.rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
         columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
         return some.select(*columns).union(none.select(*columns))
 
+    def places(self) -> DataFrame:
+        """(row, rows, places) for each kind of row taken: how many rows of it there are, and where the mix has them, ascending.
+
+        A pass over the source takes a document where it takes at least half of its words; its place (slot, first) is that of
+        its first word.
+        """
+        order = F.min(F.struct("slot", "first")).alias("place")
+        taken = self.words.groupBy("src", "start", "pass").agg(F.sum("n").alias("n"), order)
+        some = self.rows.where("size > 0").join(taken.hint("merge"), ["src", "start"], "left")
+        place = F.when(2 * F.col("n") >= F.col("size"), F.col("place"))
+        kinds = some.groupBy("row").agg(F.count_distinct("src", "start").alias("rows"), F.sort_array(F.collect_list(place)).alias("places"))
+        return kinds.where(F.size("places") > 0)
+
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of docs.
@@ -150,13 +166,23 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them: each row as often (0, 1 or 2 times) as it takes the greater part of
-    its words. Rows without words are left out. Rows alike in id, source and size share their number."""
-    took = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
-    keys = took.where("size > 0").groupBy("doc_id", "source", "size").agg(copies.alias("_copies"))
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies").where("_copies > 0")
-    count = F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    out = docs.withColumn("_n", count).where("_n > 0").join(keys, same)
-    return out.withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs in the order of the mix: partition by partition, and inside each, by slot and place in the slot's block.
+
+    A row stands as often (0, 1 or 2 times) as passes over its source take at least half of its words; it stays
+    whole, at the place of its first word. Rows without words are left out. Rows alike in id, source and text share
+    their places. Columns may have any names; an empty table stays empty.
+    """
+    mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    spark = docs.sparkSession
+    last = mix.schedule.agg(F.max("slot").alias("s")).first().s or 0
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if size >= 1 << 60 else max(parts, size // PART_BYTES)
+    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("row")
+    found = docs.select(F.struct("*").alias("doc"), key).join(mix.places().hint("merge"), "row")
+    # the rows of a kind stand in one partition already; each takes its part of the places
+    number = F.row_number().over(Window.partitionBy("row").orderBy("row")) - 1
+    own = F.filter("places", lambda _, k: F.pmod(k, F.col("rows")) == F.col("number"))
+    each = found.withColumn("number", number).select("doc", F.explode(own).alias("place"))
+    part = F.least(F.floor(F.col("place.slot") * parts / F.lit(last + 1)), F.lit(parts - 1)).cast("int")
+    return each.repartitionById(parts, part).sortWithinPartitions("place").select("doc.*")

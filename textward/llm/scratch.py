@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="textward-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,6 +30,14 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def free(names: list[str], wanted: str) -> str:
+    """A column name like the wanted one that isn't taken."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 class Scratch:
     """A folder of one run. Its tables cut lineage and survive lost executors."""
 

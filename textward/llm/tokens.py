@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,15 +226,17 @@ def _ranges(docs: DataFrame) -> int:
     return least if size >= 1 << 60 else max(least, size // RANGE_BYTES)  # at the top: unknown
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
-    """Write (part, doc_id, local_start, n_tokens, ids) in ascending order of id_col, nulls first.
+def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END, order: list[Column] | None = None) -> None:
+    """Write (part, doc_id, local_start, n_tokens, ids) in ascending order of id_col, nulls first, or of `order`.
 
-    A null or empty text has the end id alone. Rows of equal id stand in order of text.
+    A null or empty text has the end id alone. Rows of equal id stand in order of text; repeated rows are each
+    written. Columns of other names aren't read.
     local_start counts the ids before a document in its part; parts are ranges in ascending order.
     tokenizer: path of a file of the tokenizers library that every executor can open.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(_ranges(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(f"at{k}") for k, c in enumerate(order or [])])
+    by = [f"at{k}" for k in range(len(order or []))] or ["doc_id"]
+    dealt = source.repartitionByRange(_ranges(docs), *by).sortWithinPartitions(*by, "doc_id", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -281,8 +283,8 @@ def digest(table: DataFrame) -> DataFrame:
     return table.select("doc_id", "start", "ids").mapInArrow(words.thrifty(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None) -> DataFrame:
     """Write docs into the shared folder, read the files back and return their digest."""
     path = Scratch(docs.sparkSession, "tokens").path("ids")
-    write(docs, path, tokenizer, id_col=id_col, text_col=text_col)
+    write(docs, path, tokenizer, id_col=id_col, text_col=text_col, order=order)
     return digest(read(docs.sparkSession, path))
