@@ -98,3 +98,20 @@ def test_a_changed_payload_fails(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_records_without_their_headers_are_passed_over(tmp_path):
+    good = [warc.member(i, None, b"x" * 50, "", 50, None) for i in range(2)]
+    bad = [gzip.compress(h + b"\r\n\r\nbody\r\n\r\n") for h in (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a:7>", b"WARC/1.1\r\nContent-Length: x\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a:8>", b"WARC/1.1\r\nContent-Length: 4")]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(good[0] + b"".join(bad) + good[1])
+    assert [warc._number(h["warc-record-id"]) for h, _ in warc.records(str(path), 0, 1 << 20)] == [0, 1]
+
+
+def test_a_second_attempt_replaces_no_archive(spark):
+    root = Scratch(spark, "test").path("archives")
+    written = warc.write(spark.createDataFrame(pages(), SCHEMA), root)
+    first, second = written.collect(), written.collect()
+    assert not {r.path for r in first} & {r.path for r in second}
+    for manifest in (first, second):
+        assert warc.read(spark.createDataFrame(manifest)).count() == len(pages())

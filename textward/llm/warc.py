@@ -94,7 +94,9 @@ def plan(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> tuple[DataFrame, D
 def write(pages: DataFrame, root: str, *, min_payload: int = MIN_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
     """Write archives under root; lazily returns (path, bytes, records), a row for each archive.
 
-    Null html is an empty payload. A task replaces its archives if it runs again.
+    Null html is an empty payload. Archives are named by the attempt that wrote them, and only those of attempts
+    that succeeded are listed: a late or repeated attempt, whose rows may come in another order, replaces none.
+    Repeated rows are each written; columns of other names aren't read.
     """
     responses, revisits = plan(pages, min_payload)
     size = F.octet_length("html").cast("long")
@@ -103,13 +105,13 @@ def write(pages: DataFrame, root: str, *, min_payload: int = MIN_PAYLOAD, archiv
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get(), 0
         chunks: list[bytes] = []
         held = records = 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, chunks, held, records
-            path = f"{root}/part-{part:05d}-{number:05d}.warc.gz"
+            path = f"{root}/part-{task.partitionId():05d}-{number:05d}-{task.taskAttemptId()}.warc.gz"
             files.publish(path, chunks)
             out = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([held], pa.int64()), pa.array([records], pa.int64())], names=["path", "bytes", "records"])
             number, chunks, held, records = number + 1, [], 0, 0
@@ -175,14 +177,17 @@ def first_record(source: _Input, start: int, end: int) -> int | None:
     return None
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and content of a record."""
+def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Headers (names in lower case) and content of a record; None without those that every record has."""
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = {}
-    for line in head.decode("utf-8").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
-    return headers, rest[: int(headers["content-length"])]
+    size = headers.get("content-length", "")
+    if not (size.isascii() and size.isdigit()) or not headers.get("warc-type") or not headers.get("warc-record-id"):
+        return None
+    return headers, rest[: int(size)]
 
 
 def records(uri: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -191,10 +196,11 @@ def records(uri: str, start: int, end: int) -> Iterator[tuple[dict[str, str], by
     at = first_record(source, start, end)
     while at is not None and at < end:
         got = _inflate(source, at, False)
-        if got is None:  # damaged, or bytes between members: look for the next one
+        record = got and parse(got[0])
+        if not record:  # damaged, or bytes between members: look for the next one
             at = first_record(source, at + 1, end)
             continue
-        yield parse(got[0])
+        yield record
         at = got[1]
         if at < min(end, source.size) and source.at(at, len(MAGIC)) != MAGIC:
             at = first_record(source, at, end)
