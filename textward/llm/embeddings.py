@@ -34,7 +34,7 @@ COSINE = 0.9
 SHARDS = 6
 SHARD_ROWS = 1 << 16
 SHARD_BYTES = 64 << 20
-BEAM = 16
+BEAM = 8
 AUDIT = 256
 RECALL = 0.999
 _BLOCK = 512

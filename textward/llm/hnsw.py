@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 M = 16
-BUILD_BEAM = 48
+BUILD_BEAM = 32
 BATCH = 512
 STEP = 4
 
@@ -40,6 +40,14 @@ def _pad(row: np.ndarray, values: tuple[np.ndarray, ...], n: int, fill: tuple) -
     return out
 
 
+def _distinct(row: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order; node < n."""
+    flat = row * np.int64(n) + node
+    flat.sort()
+    flat = flat[np.concatenate(([True], flat[1:] != flat[:-1]))] if len(flat) else flat
+    return np.divmod(flat, n)
+
+
 def beam(vecs: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities [len(q), width], best first, of nodes near each query (-1 where fewer are reached)."""
     n_q, n = len(q), len(links)
@@ -51,10 +59,8 @@ def beam(vecs: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray,
     row, node = np.repeat(np.arange(n_q), entry.shape[1]), entry.ravel()
     row, node = row[node >= 0], node[node >= 0]
     while len(live):
-        flat = np.unique(row * np.int64(n) + node)  # row: number in live
-        row, node = flat // n, flat % n
-        new = ~seen[live[row], node]
-        row, node = row[new], node[new]
+        new = ~seen[live[row], node]  # row: number in live
+        row, node = _distinct(row[new], node[new], n)
         seen[live[row], node] = True
         found = _sims(vecs, node, q, live[row])
         better = found > sim[live[row], -1]
@@ -86,9 +92,9 @@ def _choose(vecs: np.ndarray, centre: np.ndarray, cand: np.ndarray, m: int) -> n
     cand[cand == centre[:, None]] = -1
     x = vecs[np.maximum(cand, 0)]
     sim = np.where(cand >= 0, np.einsum("rkd,rd->rk", x, vecs[centre]), -np.inf)
-    order = np.argsort(-sim, axis=1, kind="stable")
+    order = np.argsort(-sim, axis=1, kind="stable")[:, : m + M]  # the farthest ones hardly ever matter
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
-    x = np.take_along_axis(x, order[:, :, None], 1)
+    x = vecs[np.maximum(cand, 0)]
     among = x @ x.transpose(0, 2, 1)
     rows, k = cand.shape
     taken = np.zeros((rows, k), bool)
@@ -155,7 +161,7 @@ def enter(vecs: np.ndarray, upper: list[np.ndarray], q: np.ndarray) -> np.ndarra
     """Entry nodes [len(q), few] for the layer below `upper`, found from its top down."""
     entry = np.zeros((len(q), 1), np.int64)
     for links in reversed(upper):
-        entry, _ = beam(vecs, links, q, entry, 8)
+        entry, _ = beam(vecs, links, q, entry, STEP)
     return entry[:, :4]
 
 
@@ -185,10 +191,9 @@ def within(vecs: np.ndarray, layers: list[np.ndarray], q: np.ndarray, least: flo
             next_r = np.repeat(r, links.shape[1])
             next_n = links[node].astype(np.int64).ravel()
             ok = next_n >= 0
-            flat = np.unique(next_r[ok] * np.int64(n) + next_n[ok])
-            next_r, next_n = flat // n, flat % n
-            ok = ~seen[next_r, next_n]
             next_r, next_n = next_r[ok], next_n[ok]
+            ok = ~seen[next_r, next_n]
+            next_r, next_n = _distinct(next_r[ok], next_n[ok], n)
             seen[next_r, next_n] = True
             s = _sims(vecs, next_n, q, full[next_r])
             ok = s >= least - slack
