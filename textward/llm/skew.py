@@ -30,11 +30,12 @@ def join(left: DataFrame, right: DataFrame, keys: list[str], *, hot: list, by: s
     spread = F.col(keys[0]).isin(hot)
     left = left.withColumn("_salt", F.when(spread, salted(by, SALTS)).otherwise(0))
     every = F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(right.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).drop("_salt")
+    return left.join(right.withColumn("_salt", F.explode(every)).hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def spread(left: DataFrame, right: DataFrame, keys: list[str], *, by: str, how: str = "inner", salts: int = FEW) -> DataFrame:
     """join on keys with right's row of each key, repeated so that any key's rows of left go to several tasks."""
     left = left.withColumn("_salt", salted(by, salts))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    # merged: what is repeated here looks smaller to Spark's own size check than it is
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
