@@ -176,11 +176,23 @@ def _counts_of_counts(n: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
 
 
+def _each(df: DataFrame, run, bits: int) -> DataFrame:
+    """run(shard, rows) over the rows of each shard; a shard is a task of its own, so no task holds several by chance."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            table = pa.Table.from_batches(rows)
+            yield from run(table.column("shard")[0].as_py(), table).to_batches()
+
+    return df.repartitionById(1 << bits, F.col("shard")).mapInArrow(words.thrifty(whole), _SCHEMA)
+
+
 def _grams_of_shard(root: str, bits: int, level: int):
     """Writes a shard's n-grams of so many words; passes on parts of contexts and the n-grams of one word less."""
 
-    def run(key, table):
-        shard, out = key[0].as_py(), []
+    def run(shard: int, table: pa.Table) -> pa.Table:
+        out = []
         parts, counts, found, times = [], [], [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
             own, *code = unpack(data)
@@ -217,8 +229,7 @@ def _grams_of_shard(root: str, bits: int, level: int):
 def _words_and_contexts(root: str):
     """Writes a shard's words, and its contexts of each order."""
 
-    def run(key, table):
-        shard = key[0].as_py()
+    def run(shard: int, table: pa.Table) -> pa.Table:
         got: dict[tuple[int, int], tuple[list, list]] = {}
         for kind, level, data in zip(*(table.column(c).to_pylist() for c in ("kind", "level", "data")), strict=True):
             k, *n = unpack(data)
@@ -371,10 +382,10 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
     step, levels = mapped, []
     for level in range(order, 1, -1):
         mine = step.where(F.col("kind").isin(GRAMS, WORDS) if level == order else F.col("kind") == GRAMS)
-        step = scratch.keep(mine.groupBy("shard").applyInArrow(_grams_of_shard(root, bits, level), _SCHEMA), f"grams{level}")
+        step = scratch.keep(_each(mine, _grams_of_shard(root, bits, level), bits), f"grams{level}")
         levels.append(step)
     parts = reduce(DataFrame.unionByName, levels or [mapped]).where(F.col("kind").isin(WORDS, SEEN, CONTEXT))
-    done = scratch.keep(parts.groupBy("shard").applyInArrow(_words_and_contexts(root), _SCHEMA), "words")
+    done = scratch.keep(_each(parts, _words_and_contexts(root), bits), "words")
     told = reduce(DataFrame.unionByName, [t.where("shard < 0") for t in levels], done).collect()  # a few numbers from each shard
     for t in levels:
         scratch.drop(t)
