@@ -59,14 +59,19 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has more bytes than characters: no look at the characters is needed."""
+    return F.octet_length(text) != F.length(text)
+
+
 def nfkc(text: Column) -> Column:
     """NFKC; only texts with non-ASCII characters travel to Python."""
-    odd = text.rlike(NON_ASCII)
-    return F.coalesce(_nfkc(F.when(odd, text)), text)
+    return F.coalesce(_nfkc(F.when(beyond_ascii(text), text)), text)
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    some = text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]") | (beyond_ascii(text) & text.rlike(INVISIBLE))
+    return F.when(some, F.regexp_replace(text, INVISIBLE, "")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
@@ -78,7 +83,7 @@ def decode_tags(text: Column) -> Column:
     tags = "".join(chr(0xE0000 + k) for k in range(1, 128))
     plain = "".join(chr(k) for k in range(1, 128))
     run = F.array_join(F.regexp_extract_all(text, F.lit(f"({TAGS})"), F.lit(1)), "")
-    return F.when(text.rlike(TAGS), F.translate(run, tags, plain)).otherwise(F.lit(""))
+    return F.when(beyond_ascii(text) & text.rlike(TAGS), F.translate(run, tags, plain)).otherwise(F.lit(""))
 
 
 def hidden_text(text: Column, min_len: int = MIN_HIDDEN) -> Column:
@@ -93,7 +98,8 @@ def fold_lookalikes(text: Column) -> tuple[Column, Column]:
     folded = F.array_join(F.transform(words, lambda w: F.when(mixed(w), F.translate(w, LOOKALIKES, LOOKALIKES_TO)).otherwise(w)), "")
     gone = lambda w: F.length(w) - F.length(F.translate(w, LOOKALIKES, ""))
     count = F.aggregate(F.filter(words, mixed), F.lit(0), lambda n, w: n + gone(w))
-    some = text.rlike(f"[{LOOKALIKES}]") & text.rlike("[A-Za-z]")
+    # a range of letters is found faster than single ones
+    some = beyond_ascii(text) & text.rlike(r"[\x{0370}-\x{052F}]") & text.rlike("[A-Za-z]")
     return F.when(some, folded).otherwise(text), F.when(some, count).otherwise(F.lit(0))
 
 
@@ -121,7 +127,9 @@ def _decoded(tokens: pd.Series, hexes: pd.Series) -> pd.Series:
 
 def encoded_payloads(text: Column) -> Column:
     """Texts hidden in base64 and hex runs; rows without such runs don't travel to Python."""
-    b64, hx = base64_candidates(text), hex_candidates(text)
+    b64 = base64_candidates(text)
+    # a run of hex digits of that length is one of the base64 alphabet
+    hx = F.when(text.rlike("[A-Za-z0-9+/=]{%d}" % MIN_ENCODED), hex_candidates(text)).otherwise(F.array().cast("array<string>"))
     return F.when((F.size(b64) > 0) | (F.size(hx) > 0), _decoded(b64, hx)).otherwise(F.array().cast("array<string>"))
 
 

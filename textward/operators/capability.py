@@ -6,6 +6,7 @@ the bytes received.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ MAX_CHARS = 16_384
 MAX_DEPTH = 8
 MIN_KEY = 32
 REQUIRED = ("agent_id", "scopes", "expires_at", "nonce", "max_uses", "kid")
-NAME = r"\A[A-Za-z0-9._:-]{1,128}\z"
+# The alphabets of key ids and audiences.
+KID = r"\A[A-Za-z0-9._:-]{1,64}\z"
+AUDIENCE = r"\A[A-Za-z0-9._:/-]{1,128}\z"
 PAYLOAD = T.StructType(
     [
         T.StructField("agent_id", T.StringType()), T.StructField("aud", T.StringType()), T.StructField("constraints", T.MapType(T.StringType(), T.StringType())),
@@ -29,6 +32,10 @@ PAYLOAD = T.StructType(
 )
 
 
+def named(alphabet: str, name: object) -> bool:
+    return isinstance(name, str) and re.fullmatch(alphabet.removeprefix(r"\A").removesuffix(r"\z"), name) is not None
+
+
 @dataclass(frozen=True)
 class Keyring:
     """Signing keys by id, of which one is active."""
@@ -39,6 +46,8 @@ class Keyring:
     def __post_init__(self) -> None:
         if self.active not in self.keys:
             raise ValueError(f"the active key {self.active!r} is not on the ring")
+        if odd := [k for k in self.keys if not named(KID, k)]:
+            raise ValueError(f"no valid key ids: {odd}")
         if short := [k for k, v in self.keys.items() if len(v) < MIN_KEY]:
             raise ValueError(f"keys under {MIN_KEY} bytes: {short}")
 
@@ -73,6 +82,8 @@ def encode(json_text: Column, ring: Keyring) -> Column:
 
 def issue(df: DataFrame, ring: Keyring, *, agent_id: Column, scopes: Column, issued_at: Column, nonce: Column, ttl_s: Column | int = 300, max_uses: Column | int = 1, subject: Column | None = None, constraints: Column | None = None, audience: str | None = None) -> DataFrame:
     """df with the column token; issued_at in seconds."""
+    if audience is not None and not named(AUDIENCE, audience):
+        raise ValueError(f"no valid audience: {audience!r}")
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     text = payload_json(
         agent_id=agent_id, scopes=F.array_sort(F.array_distinct(scopes)), issued_at=issued_at.cast("double"), expires_at=(issued_at + lit(ttl_s)).cast("double"), nonce=nonce, max_uses=lit(max_uses),
@@ -91,11 +102,20 @@ def parse(df: DataFrame, token_col: str = "token") -> DataFrame:
     text = F.try_validate_utf8(F.col("raw"))
     out = out.withColumn("payload", F.from_json(text, PAYLOAD)).withColumn("_missing", F.lit(""))
     missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), F.json_object_keys(text))
+    # fields that stand there, but as null or as something else than their type or alphabet
+    p = lambda name: F.col(f"payload.{name}")
+    good = {k: p(k).isNotNull() for k in REQUIRED}
+    good["scopes"] = good["scopes"] & F.forall(p("scopes"), lambda x: x.isNotNull())
+    good["expires_at"] = F.abs(p("expires_at")) < float("inf")
+    good["kid"] = p("kid").rlike(KID)
+    good["aud"] = p("aud").isNull() | p("aud").rlike(AUDIENCE)
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in good.items()]))
     why = (
         F.when(token.isNull(), "not_a_string").when(F.length(token) > MAX_CHARS, "too_long")
         .when((at <= 1) | (tail == ""), "no_signature").when(~hexed, "not_hex")
         .when(text.isNull(), "not_json").when(F.json_object_keys(text).isNull(), "not_an_object")
         .when(F.size(missing) > 0, F.concat(F.lit("missing_"), F.array_join(missing, "_")))
+        .when(F.size(bad) > 0, F.concat(F.lit("bad_"), F.array_join(bad, "_")))
     )
     return out.withColumn("malformed", why).drop("_missing")
 
@@ -103,6 +123,8 @@ def parse(df: DataFrame, token_col: str = "token") -> DataFrame:
 def authorize(calls: DataFrame, ring: Keyring, *, action: str = "action", subject: str = "subject", now: str = "now", audience: str | None = None, require_subject: bool = False, revocations: DataFrame | None = None) -> DataFrame:
     """parsed calls with denied: the first check that fails, null if none; replay is checked after (`sessions.nonce_uses`).
 
+    A check that can't be answered, for a null action, time, scope or anything else, has failed.
+
     Order: form, key, signature, audience, subject, expiry, scope, revocation (subject, revoked_at, expires_at).
     """
     p = F.col("payload")
@@ -126,7 +148,7 @@ def authorize(calls: DataFrame, ring: Keyring, *, action: str = "action", subjec
     if require_subject:
         checks.append((~bound, "unbound"))
     checks += [(F.col(now) > p["expires_at"], "expired"), (~F.array_contains(p["scopes"], F.col(action)), "out_of_scope"), (bound & revoked, "revoked")]
-    return out.withColumn("denied", F.coalesce(*[F.when(c, F.lit(n)) for c, n in checks])).drop("_expected", "_subject", "_gone")
+    return out.withColumn("denied", F.coalesce(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for c, n in checks])).drop("_expected", "_subject", "_gone")
 
 
 def constraints_met(constraints: Column, actual: Column) -> Column:
@@ -145,8 +167,8 @@ def attenuate(parents: DataFrame, *, scopes: str = "want_scopes", uses: str = "w
     changed = F.exists(F.map_keys(extra), lambda k: F.map_contains_key(own, k) & (F.element_at(own, k) != F.element_at(extra, k)))
     depth = F.coalesce(F.col("depth"), F.lit(0)) + 1
     rules = [
-        (F.col(now) > F.col("expires_at"), "expired"), (depth > MAX_DEPTH, "too_deep"), (F.size(F.array_except(wanted, F.col("scopes"))) > 0, "wider_scope"),
-        (F.size(wanted) == 0, "no_scope"), (F.col(ttl) <= 0, "bad_ttl"), ((asked < 1) | (asked > F.col("max_uses")), "too_many_uses"), (changed, "changed_constraint"),
+        (F.coalesce(F.col(now) > F.col("expires_at"), F.lit(True)), "expired"), (depth > MAX_DEPTH, "too_deep"), (F.coalesce(F.size(F.array_except(wanted, F.col("scopes"))), F.lit(1)) > 0, "wider_scope"),
+        (F.size(wanted) == 0, "no_scope"), (F.col(ttl) <= 0, "bad_ttl"), (F.coalesce((asked < 1) | (asked > F.col("max_uses")), F.lit(True)), "too_many_uses"), (changed, "changed_constraint"),
     ]
     until = F.least("expires_at", F.coalesce(F.col(now) + F.col(ttl), F.col("expires_at")))
     only = F.map_filter(extra, lambda k, v: ~F.map_contains_key(own, k))
@@ -156,6 +178,20 @@ def attenuate(parents: DataFrame, *, scopes: str = "want_scopes", uses: str = "w
     )
 
 
+def attenuated(parents: DataFrame, ring: Keyring, *, child_nonce: Column, now: str = "now", **wanted: str) -> DataFrame:
+    """parents (payload columns flat) with `attenuate`'s columns and child_token, null where the request is refused.
+
+    The child is signed with the active key and keeps the agent, subject and audience of its parent, whose nonce it names.
+    """
+    out = attenuate(parents, now=now, **wanted)
+    have = lambda name: F.col(name) if name in parents.columns else F.lit(None).cast("string")
+    text = payload_json(
+        agent_id=have("agent_id"), scopes=F.col("child_scopes"), issued_at=F.col(now).cast("double"), expires_at=F.col("child_expires_at").cast("double"), nonce=child_nonce, max_uses=F.col("child_uses"),
+        subject=have("subject"), constraints=F.col("child_constraints"), kid=F.lit(ring.active), aud=have("aud"), parent=have("nonce"), depth=F.col("child_depth"),
+    )
+    return out.withColumn("child_token", F.when(F.col("refused").isNull(), encode(text, ring)))
+
+
 def chain_depth(tokens: DataFrame, nonce: str = "nonce", parent: str = "parent", most: int = MAX_DEPTH) -> DataFrame:
     """(nonce, root, links): the first token of each token's chain and how far it is; chains over `most` links have no root."""
     up = tokens.select(F.col(nonce).alias("_n"), F.col(parent).alias("_up"))

@@ -54,12 +54,14 @@ def detector(fn: Callable[[str], object]) -> Callable[[Column], Column]:
 
 def score(docs: DataFrame, detectors: dict[str, Callable[[Column], Column]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, detector, score, label, error): equal texts are scored once."""
-    texts = docs.select(F.col(text_col).alias("_text")).distinct()
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.sha2("_text", 256))
+    texts = keyed.groupBy("_hash").agg(F.any_value("_text").alias("_text"))
     for name, run in detectors.items():
         texts = texts.withColumn(name, run(F.col("_text")))
     each = F.array(*[F.struct(F.lit(n).alias("detector"), F.col(f"`{n}`.score").alias("score"), F.col(f"`{n}`.label").alias("label"), F.col(f"`{n}`.error").alias("error")) for n in detectors])
-    scored = texts.select("_text", F.explode(each).alias("r")).select("_text", "r.*")
-    return docs.select(id_col, F.col(text_col).alias("_own")).join(scored, F.col("_own").eqNullSafe(F.col("_text"))).drop("_own", "_text")
+    scored = texts.select(F.col("_hash").alias("_key"), F.explode(each).alias("r")).select("_key", "r.*")
+    # texts are told apart by their hashes and don't travel with the rows
+    return keyed.select(F.col("_id").alias(id_col), "_hash").join(scored, F.col("_hash").eqNullSafe(F.col("_key"))).drop("_hash", "_key")
 
 
 def ensemble(results: DataFrame, registrations: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -37,7 +37,7 @@ def phrase_names(text: Column, lowered: Column, patterns: dict[str, Pattern], pr
 
 def _lowered(text: Column) -> Column:
     """For the literals: letters that match i and s regardless of case become them."""
-    return F.lower(F.translate(text, "İıſ", "iis"))
+    return F.lower(F.when(T.beyond_ascii(text), F.translate(text, "İıſ", "iis")).otherwise(text))
 
 
 def _each(texts: Column, patterns: dict[str, Pattern], prefix: str) -> Column:

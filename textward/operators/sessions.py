@@ -51,8 +51,8 @@ def sliding_count(events: DataFrame, key: str, ts: str, order: str, window_s: in
     return cut.withColumn(out, seen.cast("long")).where("_p.own").drop("_p")
 
 
-def over_budget(events: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
-    """events with count and limited; refused events count too."""
+def over_budget(events: DataFrame, key: str, ts: str, order: str, window_s: int, most: int | Column) -> DataFrame:
+    """events with count and limited; refused events count too. most: a number, or a column for limits of each row."""
     return sliding_count(events, key, ts, order, window_s).withColumn("limited", F.col("count") > most)
 
 
