@@ -75,3 +75,37 @@ def exposition(counted: DataFrame, namespace: str = "textward") -> DataFrame:
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'(["\\])', r"\\$1"), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))).otherwise("")
     return counted.select(F.concat(F.lit(f"{namespace}_"), "metric", labels, F.lit(" "), F.call_function("format_number", "value", F.lit("0.######"))).alias("line"))
+
+
+def histogram_lines(rows: DataFrame, namespace: str = "textward") -> DataFrame:
+    """Lines of Prometheus's text format for the histograms of samples: buckets, sum and count."""
+    buckets = histograms(rows).select("metric", F.map_concat("labels", F.create_map(F.lit("le"), F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")))).alias("labels"), F.col("count").cast("double").alias("value"), F.lit("_bucket").alias("end"))
+    names = [n for n, (kind, *_) in CATALOGUE.items() if kind == "histogram"]
+    sums = rows.where(F.col("metric").isin(names)).groupBy("metric", _labels().alias("_l")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    both = sums.select("metric", F.map_from_entries("_l").alias("labels"), F.explode(F.array(F.struct(F.col("s").alias("value"), F.lit("_sum").alias("end")), F.struct(F.col("n").alias("value"), F.lit("_count").alias("end")))).alias("x"))
+    every = buckets.unionByName(both.select("metric", "labels", "x.value", "x.end"))
+    return exposition(every.withColumn("metric", F.concat("metric", "end")), namespace)
+
+
+def of_inputs(checked: DataFrame) -> DataFrame:
+    """Samples of turns as `plans.turns.inputs` returns them."""
+    outcome = F.when(F.col("blocked"), "blocked").otherwise("allowed")
+    mode = F.when(F.col("would_block") & ~F.col("blocked"), "shadow").otherwise("enforce")
+    held = F.col("would_block")
+    return samples(
+        checked, sample("requests_total", stage="input", outcome=outcome, enforcement=mode), sample("risk_score", F.col("combined_risk"), stage="input", kind="combined"),
+        F.when(F.col("blocked"), sample("blocks_total", stage="input", reason=F.col("reason"))), F.when(held & ~F.col("blocked"), sample("would_block_total", stage="input", reason=F.col("reason"))),
+        F.when(F.col("limited"), sample("rate_limited_total", stage="input")),
+    )
+
+
+def of_outputs(checked: DataFrame) -> DataFrame:
+    """Samples of answers as `operators.output.answer` returns them; findings count by category."""
+    outcome = F.when(F.col("blocked"), "blocked").otherwise("allowed")
+    mode = F.when(F.col("would_block") & ~F.col("blocked"), "shadow").otherwise("enforce")
+    found = [samples(checked.select(F.explode(F.map_keys(kind)).alias("c")), sample("findings_total", stage="output", kind=kind, category=F.col("c"))) for kind in ("secrets", "pii")]
+    own = samples(
+        checked, sample("requests_total", stage="output", outcome=outcome, enforcement=mode),
+        F.when(F.col("blocked"), sample("blocks_total", stage="output", reason=F.col("reason"))), F.when(F.col("would_block") & ~F.col("blocked"), sample("would_block_total", stage="output", reason=F.col("reason"))),
+    )
+    return own.unionByName(found[0]).unionByName(found[1])

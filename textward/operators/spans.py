@@ -18,6 +18,7 @@ from textward.functions.patterns import CARD, PHONE, Registry
 SPANS = "array<struct<start:int,end:int,category:string,priority:int>>"
 SECRET, PERSONAL = 0, 1
 FOREIGN = "cross_tenant_identifier"
+CANARY = "system_prompt_canary"
 _NOT_DIGIT = re.compile(r"\D")
 
 
@@ -28,11 +29,11 @@ def luhn(number: str) -> bool:
     return len(digits) >= 13 and (sum(digits[::-2]) + sum(doubled)) % 10 == 0
 
 
-def find_in(text: str, secrets: list, personal: list, literals: list[str] = ()) -> list[tuple[int, int, str, int]]:
-    """All spans of one text: secret patterns and literals first, then personal data."""
+def find_in(text: str, secrets: list, personal: list, literals: list[str] = (), canaries: tuple[str, ...] = ()) -> list[tuple[int, int, str, int]]:
+    """All spans of one text: secret patterns, literals and canaries first, then personal data."""
     out = [(*m.span(), name, SECRET) for name, p in secrets for m in p.finditer(text) if m.group()]
-    for literal in literals:
-        out += [(m.start(), m.end(), FOREIGN, SECRET) for m in re.finditer(re.escape(literal), text)]
+    for kind, words in ((FOREIGN, literals), (CANARY, canaries)):
+        out += [(*m.span(), kind, SECRET) for w in words for m in re.finditer(re.escape(w), text)]
     out += [(*m.span(), name, PERSONAL) for name, p in personal for m in p.finditer(text) if m.group()]
     if personal is not None:
         out += [(*m.span(), "credit_card", PERSONAL) for m in _CARD.finditer(text) if luhn(m.group())]
@@ -51,13 +52,13 @@ def compiled(registry: Registry) -> tuple[list, list]:
     return [(n, p.python()) for n, p in registry.secrets.items()], [(n, p.python()) for n, p in registry.pii.items()]
 
 
-def find(text: Column, registry: Registry, literals: Column | None = None) -> Column:
+def find(text: Column, registry: Registry, literals: Column | None = None, canaries: tuple[str, ...] = ()) -> Column:
     """Spans of secrets and personal data; null texts have none."""
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series, words: pd.Series) -> pd.Series:
         secrets, personal = compiled(registry)
-        return pd.Series([[] if t is None else [dict(zip(("start", "end", "category", "priority"), s)) for s in find_in(t, secrets, personal, [] if w is None else list(w))] for t, w in zip(texts, words, strict=True)])
+        return pd.Series([[] if t is None else [dict(zip(("start", "end", "category", "priority"), s)) for s in find_in(t, secrets, personal, [] if w is None else list(w), canaries)] for t, w in zip(texts, words, strict=True)])
 
     return spans(text, F.lit(None).cast("array<string>") if literals is None else literals)
 

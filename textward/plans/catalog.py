@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import text as T
 from textward.functions.patterns import CARD, Registry
-from textward.operators import audit, capability, detectors, evaluation, exfil, ingest, media, metrics, output, scan, sessions
+from textward.operators import audit, capability, detectors, evaluation, exfil, foreign, ingest, media, metrics, output, scan, sessions
 from textward.operators import spans as S
 from textward.plans import planted, turns
 from textward.plans.planted import quoted
@@ -28,7 +28,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; one of texts that comes in fewer splits than there are cores is dealt over them, as scans cost far more than that."""
+    out = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and out.rdd.getNumPartitions() < cores:
+        return out.repartition(cores)
+    return out
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -653,15 +658,40 @@ def risk_histogram(spark: SparkSession, d: str) -> DataFrame:
 WITH items AS (SELECT item_id, substr(text, 1, 40) AS literal FROM benchmark)
 SELECT doc_id, item_id FROM documents JOIN items ON contains(text, literal)""")
 def cross_tenant_literals(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that hold another's identifier: joined by the literal's second and third word, then compared."""
-    literal = F.substring("text", 1, 40)
-    inner = F.regexp_extract_all(literal, F.lit(r"(?<=[^\s]\s)([^\s]+\s+[^\s]+)(?=\s)"), F.lit(1))
-    items = table(spark, d, "benchmark").select("item_id", literal.alias("literal"), F.element_at(inner, 1).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"([^\s]+)"), F.lit(1)).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    keyed = docs.select("doc_id", "text", F.explode(F.array_distinct(pairs)).alias("key"))
-    keys = items.withColumn("key", F.regexp_replace("key", r"\s+", " "))
-    return keyed.join(keys, "key").where(F.col("text").contains(F.col("literal"))).select("doc_id", "item_id").distinct()
+    """Texts that hold another's identifier: the beginning of an item."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("literal"))
+    return foreign.found(table(spark, d, "documents"), items, literal_id="item_id", least=0)
+
+
+_OWNED = "SELECT doc_id, text || ' for customer-' || doc_id % 40 || '-id and ab' || doc_id % 7 || ' cd34' AS text, doc_id % 5 AS principal FROM documents"
+
+
+@query(f"""
+WITH t AS ({_OWNED}),
+literals AS (SELECT item_id AS literal_id, text AS literal, item_id % 5 AS owner FROM benchmark
+    UNION ALL SELECT 100000 + i, 'customer-' || i || '-id', i % 5 FROM (SELECT unnest(range(0, 60)) AS i) UNION ALL SELECT 200000 + i, 'ab' || i || ' cd34', NULL FROM (SELECT unnest(range(0, 9)) AS i))
+SELECT doc_id, literal_id FROM t JOIN literals ON contains(text, literal) AND (owner IS NULL OR owner <> principal)""")
+def foreign_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that hold a literal of another owner: whole items, and planted identifiers of any form."""
+    texts = table(spark, d, "documents").select("doc_id", F.expr("text || ' for customer-' || doc_id % 40 || '-id and ab' || doc_id % 7 || ' cd34'").alias("text"), (F.col("doc_id") % 5).alias("principal"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("literal_id"), F.col("text").alias("literal"), (F.col("item_id") % 5).alias("owner"))
+    numbers = spark.range(60).select((F.col("id") + 100000).alias("literal_id"), F.concat(F.lit("customer-"), "id", F.lit("-id")).alias("literal"), (F.col("id") % 5).alias("owner"))
+    short = spark.range(9).select((F.col("id") + 200000).alias("literal_id"), F.concat(F.lit("ab"), "id", F.lit(" cd34")).alias("literal"), F.lit(None).cast("long").alias("owner"))
+    return foreign.found(texts, items.union(numbers).union(short), principal_col="principal", owner_col="owner")
+
+
+# Calls whose tokens are good, but for what a check must be able to tell.
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'expired' WHEN 2 THEN 'malformed' WHEN 3 THEN 'malformed' WHEN 4 THEN 'no_subject' WHEN 5 THEN 'malformed' END AS denied FROM orders""")
+def token_null_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Null action, time, scopes, expiry and subject, and a scope that is null: each is denied."""
+    kind = F.col("o_orderkey") % 8
+    o = table(spark, d, "orders").select("o_orderkey", kind.alias("kind"))
+    body = capability.payload_json(
+        agent_id=F.lit("a"), scopes=F.when(kind == 2, F.lit(None)).when(kind == 5, F.array(F.lit("read"), F.lit(None).cast("string"))).otherwise(F.array(F.lit("read"))), issued_at=F.lit(_NOW), expires_at=F.when(kind != 3, F.lit(_NOW + 100)),
+        nonce=F.col("o_orderkey").cast("string"), max_uses=F.lit(1), subject=F.lit("u"), constraints=F.create_map().cast("map<string,string>"), kid=F.lit("k1"), aud=F.lit("svc"),
+    )
+    calls = o.withColumn("token", capability.encode(body, RING)).withColumn("action", F.when(kind != 0, F.lit("read"))).withColumn("now", F.when(kind != 1, F.lit(_NOW))).withColumn("subject", F.when(kind != 4, F.lit("u")))
+    return capability.authorize(capability.parse(calls), RING, audience="svc").select("o_orderkey", "denied")
 
 
 @query("""

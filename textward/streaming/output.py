@@ -36,6 +36,7 @@ class State:
     tail: str = ""
     emitted: int = 0
     raw: int = 0
+    waiting: str = ""
     words: list[str] = field(default_factory=list)
     pii: list[str] = field(default_factory=list)
     leaked: bool = False
@@ -66,6 +67,8 @@ class Guard:
     max_chars: int | None = 200_000
     redact_pii: bool = True
     literals: tuple[str, ...] = ()
+    canaries: tuple[str, ...] = ()
+    min_chunk: int = MIN_CHUNK
 
     def prompt_words(self) -> set[str]:
         return {w for w in _words(self.prompt or "") - set(STOPWORDS) if len(w) > 2}
@@ -79,6 +82,18 @@ class Guard:
     def _delta(self, s: State, text: str) -> dict:
         return dict(text=text, blocked=s.reason is not None, reason=s.reason, replacement=s.replacement, leaked=s.leaked, categories=s.categories if s.reason else s.pii, overlap=s.overlap)
 
+    def feed(self, s: State, chunk: str | None) -> dict:
+        """`step` for chunks of any size: small ones wait until min_chunk characters have come, or the end."""
+        s.waiting += chunk or ""
+        if s.reason is None and chunk is not None and len(s.waiting) < self.min_chunk:
+            return self._delta(s, "")
+        ready, s.waiting = s.waiting, ""
+        delta = self.step(s, ready)
+        if chunk is None:
+            last = self.step(s, None)
+            delta = last | {"text": delta["text"] + last["text"]}
+        return delta
+
     def step(self, s: State, chunk: str | None) -> dict:
         if s.reason is not None or chunk == "":
             return self._delta(s, "")
@@ -93,7 +108,7 @@ class Guard:
         final = chunk is None
         edge, view = len(s.tail), s.tail + s.buffer
         secrets, personal = S.compiled(self.registry)
-        spans = [x for x in S.find_in(view, secrets, personal, list(self.literals)) if x[1] > edge]
+        spans = [x for x in S.find_in(view, secrets, personal, list(self.literals), self.canaries) if x[1] > edge]
         hidden = [x for x in spans if x[3] == S.SECRET]
         pii = [x for x in spans if x[3] == S.PERSONAL] if self.redact_pii else []
         urls = [u for u in exfil.find_in(view, self.policy) if u["end"] > edge] if self.policy else []
@@ -162,15 +177,32 @@ def neutralize(text: str, found: list[dict]) -> str:
 def run(guard: Guard, chunks: list[str | None], state: State | None = None) -> tuple[list[dict], State]:
     """Deltas of chunks in order; small ones wait until MIN_CHUNK characters have come."""
     s = state or State()
-    return [guard.step(s, c) for c in chunks], s
+    return [guard.feed(s, c) for c in chunks], s
+
+
+def result(deltas: list[dict]) -> dict:
+    """What a whole stream came to: all text shown, and the decision, which is that of its last delta."""
+    if not deltas:
+        return Guard()._delta(State(), "")
+    return deltas[-1] | {"text": "".join(d["text"] for d in deltas), "leaked": any(d["leaked"] for d in deltas)}
+
+
+def results(deltas: DataFrame) -> DataFrame:
+    """`result` for a table of deltas: (stream_id, text, blocked, reason, replacement, leaked, categories, overlap)."""
+    from pyspark.sql import functions as F
+
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text")
+    last = F.max_by(F.struct("blocked", "reason", "replacement", "categories", "overlap"), "seq").alias("last")
+    out = deltas.groupBy("stream_id").agg(shown, F.bool_or("leaked").alias("leaked"), last)
+    return out.select("stream_id", "text", "last.blocked", "last.reason", "last.replacement", "leaked", "last.categories", "last.overlap")
 
 
 def _rows(guard: Guard, stream_id: str, pdf: pd.DataFrame, s: State) -> Iterator[pd.DataFrame]:
     out = []
     for r in pdf.sort_values("seq").itertuples():
-        steps = [guard.step(s, r.chunk)] if r.chunk else []
+        steps = [guard.feed(s, r.chunk)] if r.chunk else []
         if getattr(r, "last", False):
-            steps.append(guard.step(s, None))
+            steps.append(guard.feed(s, None))
         if steps:  # the last chunk's row holds what the end lets through, too
             out.append((r.seq, steps[-1] | {"text": "".join(d["text"] for d in steps)}))
     frame = pd.DataFrame([{"stream_id": stream_id, "seq": seq, **d} for seq, d in out], columns=[f.split()[0] for f in DELTA.split(", ")])
