@@ -33,7 +33,7 @@ PAGE = 64 << 10
 PAGE_ROWS = 1000
 RANGE_BYTES = 128 << 20
 #: Bytes of words' ids that a worker keeps between batches and tasks.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 64 << 20
 _OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(ROW_GROUP),
