@@ -6,6 +6,9 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 # Names and patterns of credentials.
 SECRETS = {
     "openai_api_key": (r"\bsk-[A-Za-z0-9]{20,}\b", ()),
@@ -151,6 +154,11 @@ def _entry(section: str, raw: object, where: str) -> Pattern:
         out.python()
     except re.error as e:
         raise PatternError(f"{where}: {name}: {e}") from e
+    if spark := SparkContext._active_spark_context:  # both engines have to read it
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(out.java())
+        except IllegalArgumentException as e:
+            raise PatternError(f"{where}: {name}: {e}") from e
     return out
 
 

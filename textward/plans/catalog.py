@@ -527,7 +527,6 @@ def token_chain(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "orders").select("o_orderkey")
     from pyspark.sql.window import Window
 
-    ranked = keys.repartitionByRange("o_orderkey").withColumn("part", F.spark_partition_id())
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = keys.withColumn("_b", F.expr("o_orderkey div 4096"))
     sizes = ranked.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.col("_b"))
@@ -739,13 +738,14 @@ def input_decisions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "blocked", "reason")
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(text, '!\\[p\\]\\(http://evil') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '\\[docs\\]\\(http://evil') THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '<img src="https://cdn') THEN 1 ELSE 0 END AS n_urls FROM ({_DOCS})""")
 def tool_calls(spark: SparkSession, d: str) -> DataFrame:
     calls = documents(spark, d).select("doc_id", F.to_json(F.struct(F.lit("send").alias("tool"), F.struct(F.array("text").alias("lines")).alias("args"))).alias("arguments"))
     return turns.tool_arguments(calls).select("doc_id", F.size("urls").alias("n_urls"))
 
 
-@query()
+@query(f"WITH {scan_sql(_DOCS)} SELECT doc_id, risk, part + CASE WHEN len(languages) > 1 THEN 0.15 ELSE 0 END >= 0.6 AS blocked FROM scanned")
 def tool_results(spark: SparkSession, d: str) -> DataFrame:
     results = documents(spark, d).select("doc_id", F.to_json(F.struct(F.struct("text").alias("body"))).alias("result"))
     return turns.tool_results(results).select("doc_id", "risk", "blocked")
