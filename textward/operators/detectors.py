@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textward.operators import resilience
+
 ENFORCING, ADVISORY = "enforcing", "advisory"
 RESULT = "struct<score:double,label:string,error:string>"
 
@@ -35,19 +37,26 @@ def outcome(raw: object) -> dict:
     return dict(score=float(score), label=label, error=None)
 
 
-def detector(fn: Callable[[str], object]) -> Callable[[Column], Column]:
-    """A function of a text as a column function; its exceptions become errors of their row."""
+def detector(fn: Callable[[str], object], policy: resilience.Policy | None = None) -> Callable[[Column], Column]:
+    """A function of a text as a column function; its exceptions become errors of their row.
 
-    def answer(text: str) -> dict:
-        try:
-            return outcome(fn(text))
-        except Exception as e:  # noqa: BLE001 - a detector's fault is a result
-            return dict(score=None, label=None, error=f"{type(e).__name__}: {e}"[:200])
+    With a policy, a call that takes too long is an error too, and each task stops calling for a while once
+    so many calls have failed.
+    """
 
     @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, dict] = {}
-        return pd.DataFrame([known[t] if t in known else known.setdefault(t, answer(t)) for t in texts], columns=["score", "label", "error"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = resilience.Guarded(fn, policy) if policy else fn
+
+        def answer(text: str) -> dict:
+            try:
+                return outcome(call(text))
+            except Exception as e:  # noqa: BLE001 - a detector's fault is a result
+                return dict(score=None, label=None, error=f"{type(e).__name__}: {e}"[:200])
+
+        for texts in batches:
+            known: dict[str, dict] = {}
+            yield pd.DataFrame([known[t] if t in known else known.setdefault(t, answer(t)) for t in texts], columns=["score", "label", "error"])
 
     return run
 
