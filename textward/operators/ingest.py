@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textward.functions.text import content_hash
+from textward.functions.text import content_hash, wrap_as_data
 from textward.operators import exfil, scan
 
 ACCEPT, QUARANTINE, REJECT = "accept", "quarantine", "reject"
@@ -93,6 +93,13 @@ def retrievable(scanned: DataFrame, provenance: DataFrame, id_col: str = "docume
     return checked.where(~F.col("blocked") & (F.col("trusted") | F.col(id_col).isNull()))
 
 
+def context(retrieved: DataFrame, provenance: DataFrame, *, id_col: str = "document_id", text_col: str = "content", **options) -> DataFrame:
+    """The rows of retrieved that may stand in a prompt (`retrievable`), with risk and context: the normalized text, marked as data."""
+    scanned = scan.scan(retrieved, text_col, tag="RETRIEVED_DOCUMENT", prefix="_scan_", **options).withColumn("blocked", F.col("_scan_blocked"))
+    kept = retrievable(scanned, provenance, id_col, text_col)
+    return kept.select(*[F.col(f"`{c}`") for c in retrieved.columns if c not in ("risk", "context")], F.col("_scan_risk").alias("risk"), wrap_as_data(F.col("_scan_normalized"), "RETRIEVED_DOCUMENT").alias("context"))
+
+
 def review_queue(provenance: DataFrame, limit: int = 100) -> DataFrame:
     """Documents held for review, oldest first."""
     return provenance.where(F.col("decision") == QUARANTINE).orderBy("recorded_at", "document_id").limit(limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import text as T
 from textward.functions.patterns import CARD, Registry
-from textward.operators import audit, capability, detectors, evaluation, exfil, foreign, ingest, media, metrics, output, scan, sessions
+from textward.operators import audit, capability, detectors, evaluation, exfil, foreign, ingest, media, metrics, output, resilience, scan, sessions
 from textward.operators import spans as S
 from textward.plans import planted, turns
 from textward.plans.planted import quoted
@@ -341,6 +341,13 @@ def retrievable(spark: SparkSession, d: str) -> DataFrame:
     return ingest.retrievable(scan.scan(retrieved(spark, d)), provenance(spark, d), "doc_id", "text").select("doc_id")
 
 
+@query(f"""{_CHECKED} SELECT doc_id, risk, sha256('<RETRIEVED_DOCUMENT>' || chr(10) || replace(normalized, '</RETRIEVED_DOCUMENT>', '') || chr(10) || '</RETRIEVED_DOCUMENT>') AS digest
+FROM checked JOIN scanned USING (doc_id) WHERE reason = 'verified' AND risk < 0.6""")
+def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
+    """What of the retrieved documents goes into a prompt."""
+    return ingest.context(retrieved(spark, d), provenance(spark, d), id_col="doc_id", text_col="text").select("doc_id", "risk", F.sha2("context", 256).alias("digest"))
+
+
 @query(f"{_PROVENANCE} SELECT doc_id::VARCHAR AS document_id, risk_score FROM provenance WHERE decision = 'quarantine' ORDER BY age DESC, doc_id::VARCHAR LIMIT 20")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return ingest.review_queue(provenance(spark, d), 20).select("document_id", "risk_score")
@@ -770,6 +777,24 @@ def breaker_replay(spark: SparkSession, d: str) -> DataFrame:
     return audit.breaker(calls, ts="at", failures=2).select("event_id", "failures_in_row")
 
 
+# Each user's backend fails at errors, twice before its breaker opens for a day.
+@query("""
+WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS i FROM events),
+f AS (
+    SELECT event_id, user_id, i, 'closed' AS state, (NOT ok)::INT AS failed, NULL::DOUBLE AS opened FROM c WHERE i = 1
+    UNION ALL
+    SELECT event_id, user_id, i, state, failed + n, CASE WHEN state = 'open' THEN opened WHEN n = 1 AND failed + 1 >= 2 THEN t END FROM (
+        SELECT *, (state <> 'open' AND NOT ok)::INT AS n FROM (
+            SELECT c.*, f.failed, f.opened, CASE WHEN f.opened IS NOT NULL AND c.t - f.opened < 86400 THEN 'open' WHEN f.opened IS NULL AND f.failed < 2 THEN 'closed' ELSE 'half_open' END AS state
+            FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1))
+)
+SELECT event_id, state, state <> 'open' AS made, failed FROM f""")
+def breaker_states(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    policy = resilience.Policy(failures=2, recovery_s=86400.0)
+    return resilience.replay(calls, policy, key="user_id", order="event_id").select("event_id", "state", "made", "failed")
+
+
 @query("SELECT DISTINCT conv_id::VARCHAR AS stream_id, TRUE AS same FROM conversations WHERE role = 'assistant'")
 def stream_vs_batch(spark: SparkSession, d: str) -> DataFrame:
     """Whether all answers of a conversation, cut into chunks of 23 characters, come out of the streaming guard as they do of the whole-text scan."""
