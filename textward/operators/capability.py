@@ -6,7 +6,10 @@ the bytes received.
 
 from __future__ import annotations
 
+import logging
 import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,7 @@ from pyspark.sql import types as T
 
 from textward.functions.text import hmac_sha256
 
+log = logging.getLogger(__name__)
 MAX_CHARS = 16_384
 MAX_DEPTH = 8
 MIN_KEY = 32
@@ -69,6 +73,39 @@ class Keyring:
         return out
 
 
+class Keys:
+    """A ring that its provider hands out anew every reload_s seconds; while the provider fails, the last good ring stays."""
+
+    def __init__(self, provider: Callable[[], Keyring], reload_s: float = 60.0, clock: Callable[[], float] = time.monotonic) -> None:
+        if reload_s <= 0:
+            raise ValueError("reload_s is positive")
+        self.provider, self.reload_s, self.clock = provider, reload_s, clock
+        self.error: str | None = None
+        self._ring, self._read = self._fresh(), clock()
+
+    def _fresh(self) -> Keyring:
+        ring = self.provider()
+        if not isinstance(ring, Keyring):
+            raise TypeError(f"a provider of keys returned {type(ring).__name__}")
+        return ring
+
+    @property
+    def ring(self) -> Keyring:
+        """The ring for plans that are made now; a plan keeps the ring it was made with."""
+        if self.clock() - self._read >= self.reload_s:
+            self.reload()
+        return self._ring
+
+    def reload(self) -> None:
+        """Ask the provider now; error tells why that failed, None if it didn't."""
+        self._read = self.clock()
+        try:
+            self._ring, self.error = self._fresh(), None
+        except Exception as e:  # noqa: BLE001 - the last good ring stays
+            self.error = f"{type(e).__name__}: {e}"
+            log.warning("keys were not reloaded, %r stays active: %s", self._ring.active, self.error)
+
+
 def payload_json(**fields: Column) -> Column:
     """An object with sorted keys and all fields, nulls too."""
     ordered = F.struct(*[fields[k].alias(k) for k in sorted(fields)])

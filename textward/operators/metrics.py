@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 # Upper bounds of buckets.
 RISK_BUCKETS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -87,6 +94,32 @@ def histogram_lines(rows: DataFrame, namespace: str = "textward") -> DataFrame:
     return exposition(every.withColumn("metric", F.concat("metric", "end")), namespace)
 
 
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """df as it is, and measures (aggregates) taken while an action runs over it, without another pass; a stream reports them by progress."""
+    watch = Observation(name)
+    return df.observe(watch, *[c.alias(n) for n, c in measures.items()]), watch
+
+
+@contextmanager
+def span(spark: SparkSession, name: str, sink: Callable[[dict], object], **attributes: object) -> Iterator[dict]:
+    """Jobs inside carry the name; sink gets {name, seconds, error, **attributes} at the end. A sink that fails takes nothing down with it."""
+    context, out = spark.sparkContext, {"name": name, "error": None} | attributes
+    before, start = context.getLocalProperty("spark.job.description"), time.monotonic()
+    context.setJobDescription(name)
+    try:
+        yield out
+    except BaseException as e:
+        out["error"] = type(e).__name__
+        raise
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+        out["seconds"] = time.monotonic() - start
+        try:
+            sink(out)
+        except Exception as e:  # noqa: BLE001 - a check doesn't fail for its trace
+            log.warning("the trace of %s was lost: %s", name, e)
+
+
 def of_inputs(checked: DataFrame) -> DataFrame:
     """Samples of turns as `plans.turns.inputs` returns them."""
     outcome = F.when(F.col("blocked"), "blocked").otherwise("allowed")

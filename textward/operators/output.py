@@ -71,13 +71,14 @@ def scan(df: DataFrame, text_col: str = "text", *, prompt_col: str | None = None
     return out.drop("_read", "_spans")
 
 
-def answer(df: DataFrame, text_col: str = "text", *, policy: exfil.Policy = exfil.Policy(), shadow: bool = False, **options) -> DataFrame:
+def answer(df: DataFrame, text_col: str = "text", *, policy: exfil.Policy = exfil.Policy(), shadow: bool = False, urls: bool = True, **options) -> DataFrame:
     """The whole check of a model's answer: `scan`, URLs in the redacted text, reason and safe text.
 
     Adds exfil (findings), would_block, reason, safe_text; blocked is false in shadow mode, which lets the text through.
+    Without urls they aren't looked for.
     """
     out = scan(df, text_col, **options).withColumnRenamed("blocked", "_hit")
-    out = out.withColumn("exfil", exfil.find(F.when(~F.col("oversized"), F.col("redacted")), policy))
+    out = out.withColumn("exfil", exfil.find(F.when(~F.col("oversized") if urls else F.lit(False), F.col("redacted")), policy))
     url = exfil.blocked(F.col("exfil"))
     out = out.withColumn("would_block", F.col("_hit") | url)
     reason = (

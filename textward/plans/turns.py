@@ -10,14 +10,14 @@ from textward.operators import capability, exfil, scan, sessions
 from textward.operators.sessions import Limits
 
 
-def inputs(turns: DataFrame, *, text_col: str = "text", session: str = "session_id", principal: str | None = None, ts: str = "ts_us", order: str = "turn_id", threshold: float = 0.6, limits: Limits = Limits(), shadow: bool = False, detectors: DataFrame | None = None, principals: DataFrame | None = None) -> DataFrame:
+def inputs(turns: DataFrame, *, text_col: str = "text", session: str = "session_id", principal: str | None = None, ts: str = "ts_us", order: str = "turn_id", threshold: float = 0.6, limits: Limits = Limits(), shadow: bool = False, detectors: DataFrame | None = None, principals: DataFrame | None = None, **options) -> DataFrame:
     """turns with the scan, budget and cumulative risk of their session, would_block, blocked and reason.
 
     Turns over budget are counted but add no risk.  detectors: (order column, enforcing_score).  principals:
-    (principal, max_requests, max_tool_calls), which take the place of the limits' requests.
+    (principal, max_requests, max_tool_calls), which take the place of the limits' requests.  options go to `scan.scan`.
     """
     key = T.session_key(F.col(session), F.col(principal)) if principal else F.col(session)
-    out = scan.scan(turns, text_col, threshold=threshold).withColumn("_key", key.cast("string"))
+    out = scan.scan(turns, text_col, threshold=threshold, **options).withColumn("_key", key.cast("string"))
     if principals is not None:
         out = sessions.limits_for(out, principals, limits, principal)
     out = sessions.over_budget(out, "_key", ts, order, limits.window_s, limits.requests if principals is None else F.col("max_requests"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +17,16 @@ LATE = "2 minutes"
 
 
 def _stateful(rows: DataFrame, key: str, step, out: str, state: str, ttl_ms: int) -> DataFrame:
-    """step(rows in order of ts and id, state or None) gives (output rows, state)."""
+    """step(rows in order of ts and id, state or None) gives (output rows, state[, how long to hold the state in ms])."""
 
     def one(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
         pdf = pd.concat(list(frames)).sort_values(["ts", "id"])
-        frame, new = step(k[0], pdf, held.get if held.exists else None)
+        frame, new, *hold = step(k[0], pdf, held.get if held.exists else None)
         held.update(new)
-        held.setTimeoutDuration(ttl_ms)
+        held.setTimeoutDuration(max(ttl_ms, *hold) if hold else ttl_ms)
         yield frame
 
     return rows.groupBy(key).applyInPandasWithState(one, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
@@ -62,13 +64,23 @@ def risk(updates: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def nonces(uses: DataFrame, ttl_s: int = 3600) -> DataFrame:
-    """(nonce, id, use_number, allowed) of uses (nonce, id, ts, max_uses)."""
+    """(nonce, id, use_number, allowed) of uses (nonce, id, ts, max_uses and, where there is one, expires_at in seconds).
+
+    A nonce is known for ttl_s after its last use, and until its token expires: a use that comes later is refused as expired.
+    """
+    expiring = "expires_at" in uses.columns
 
     def step(nonce, pdf: pd.DataFrame, held):
         n = held[0] if held else 0
         numbers = list(range(n + 1, n + 1 + len(pdf)))
         frame = pd.DataFrame({"nonce": nonce, "id": pdf["id"].to_numpy(), "use_number": numbers, "allowed": [k <= m for k, m in zip(numbers, pdf["max_uses"], strict=True)]})
-        return frame, (n + len(pdf),)
+        if not expiring:
+            return frame, (n + len(pdf),)
+        frame["allowed"] &= (pdf["ts"] <= pdf["expires_at"]).to_numpy()
+        last = float(pdf["expires_at"].max())
+        # by the clock and by the events, whichever is longer: an event's time may lag behind the clock
+        left = max(last - time.time(), last - float(pdf["ts"].max()), 0.0) if math.isfinite(last) else 0.0
+        return frame, (n + len(pdf),), int(1000 * left) + 1000
 
     return _stateful(uses, "nonce", step, "nonce string, id long, use_number long, allowed boolean", "uses long", 1000 * ttl_s)
 
