@@ -219,6 +219,13 @@ def test_detectors(spark):
     assert (out[6].enforcing_score, out[0].enforcing_score, out[2].errors) == (0.25, 0.0, ["d"])
     with pytest.raises(ValueError):
         detectors.Registration("x", weight=2.0)
+    scored = detectors.score(docs, {"d": detectors.detector(strict)})
+    for bad in (registered.where("false"), registered.union(registered)):  # none, and two, for a detector
+        with pytest.raises(Exception, match="registration"):
+            detectors.ensemble(scored, bad).collect()
+    judged = scan.scan(docs)
+    merged = {r.doc_id: r for r in detectors.merge(judged, detectors.ensemble(scored, registered), scored, registered, threshold=0.25).collect()}
+    assert (merged[6].risk, merged[6].blocked, merged[6].patterns) == (0.25, True, ["detector:d"]) and not merged[0].blocked
 
 
 def test_sweep_of_nothing_and_report(spark):

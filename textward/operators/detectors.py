@@ -73,10 +73,19 @@ def score(docs: DataFrame, detectors: dict[str, Callable[[Column], Column]], *,
     return keyed.select(F.col("_id").alias(id_col), "_hash").join(scored, F.col("_hash").eqNullSafe(F.col("_key"))).drop("_hash", "_key")
 
 
+def registered(results: DataFrame, registrations: DataFrame) -> DataFrame:
+    """results with mode, weight and threshold of their detector; a result of a detector that isn't registered, or is
+    registered twice, fails the query, as its verdict would be lost or count twice."""
+    one = registrations.groupBy("detector").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("mode", "weight", "threshold")])
+    why = F.when(F.col("_n").isNull(), F.concat(F.lit("no registration of the detector "), F.coalesce("detector", F.lit("null")))).otherwise(F.concat(F.lit("several registrations of the detector "), "detector"))
+    mode = F.when(F.col("_n") == 1, F.col("mode")).otherwise(F.raise_error(why).cast("string"))
+    return results.join(one, "detector", "left").withColumn("mode", mode).drop("_n")
+
+
 def ensemble(results: DataFrame, registrations: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, enforcing_score, advisory_score, errors, n_results) of long results joined to registrations
-    (detector, mode, weight, threshold). A score below its threshold adds 0; an error adds nothing."""
-    joined = results.join(registrations, "detector")
+    """(id_col, enforcing_score, advisory_score, errors, n_results) of long results and the registrations
+    (detector, mode, weight, threshold) of their detectors. A score below its threshold adds 0; an error adds nothing."""
+    joined = registered(results, registrations)
     adds = F.when(F.col("score") < F.col("threshold"), 0.0).otherwise(F.col("score") * F.col("weight"))
     best = lambda mode: F.coalesce(F.max(F.when((F.col("mode") == mode) & F.col("error").isNull(), adds)), F.lit(0.0))
     return joined.groupBy(id_col).agg(
@@ -91,7 +100,7 @@ def combine(lexical: Column, enforcing: Column) -> Column:
 
 def merge(scanned: DataFrame, combined: DataFrame, results: DataFrame, registrations: DataFrame, *, threshold: float = 0.6, id_col: str = "doc_id") -> DataFrame:
     """scanned (risk, patterns, blocked) with the ensemble's score merged in and `detector:<name>` for each enforcing one that adds."""
-    joined = results.join(registrations, "detector").where((F.col("mode") == ENFORCING) & (F.col("score") >= F.col("threshold")) & (F.col("score") * F.col("weight") > 0))
+    joined = registered(results, registrations).where((F.col("mode") == ENFORCING) & (F.col("score") >= F.col("threshold")) & (F.col("score") * F.col("weight") > 0))
     names = joined.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_set("detector")), lambda n: F.concat(F.lit("detector:"), n)).alias("_names"))
     out = scanned.join(combined.select(id_col, "enforcing_score"), id_col, "left").join(names, id_col, "left")
     out = out.withColumn("risk", F.greatest("risk", F.coalesce("enforcing_score", F.lit(0.0)))).withColumn("blocked", F.col("blocked") | (F.col("risk") >= threshold))
