@@ -618,6 +618,41 @@ def detector_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.round("enforcing_score", 9).alias("enforcing_score"), F.round("advisory_score", 9).alias("advisory_score"), joined(F.col("errors")).alias("errors"), "n_results")
 
 
+# A detector that is down for some lengths of text and out of range for others.
+@query("""
+SELECT doc_id, 'length' AS detector, CASE WHEN n % 7 <> 0 AND n % 11 <> 0 THEN (n % 100) / 100 END AS score, CASE WHEN n % 7 <> 0 AND n % 11 <> 0 AND n % 2 = 0 THEN 'even' END AS label,
+    CASE WHEN n % 7 = 0 THEN 'RuntimeError: down' WHEN n % 11 = 0 THEN 'score 2.0 is outside 0..1' END AS error
+FROM (SELECT doc_id, length(text) AS n FROM documents)""")
+def detector_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A function of a text over all documents: its faults are errors of their rows."""
+
+    def length(text: str):
+        n = len(text)
+        if n % 7 == 0:
+            raise RuntimeError("down")
+        score = 2.0 if n % 11 == 0 else n % 100 / 100
+        return score if n % 2 else (score, "even")
+
+    run = detectors.detector(length, resilience.Policy(timeout_s=None, failures=1 << 30))
+    return detectors.score(table(spark, d, "documents"), {"length": run}).select("doc_id", "detector", "score", "label", "error")
+
+
+_MERGED = [("tens", "enforcing", 0.9, 0.5), ("sevens", "advisory", 1.0, 0.0)]
+
+
+@query(f"""
+WITH {scan_sql(_DOCS)}, own AS (SELECT *, CASE WHEN doc_id % 10 >= 5 THEN doc_id % 10 / 10 * 0.9 ELSE 0 END AS tens FROM scanned)
+SELECT doc_id, round(greatest(risk, tens), 9)::DOUBLE AS risk, part + CASE WHEN len(languages) > 1 THEN 0.15 ELSE 0 END >= 0.6 OR greatest(risk, tens) >= 0.6 AS blocked, CASE WHEN tens > 0 THEN 'detector:tens' ELSE '' END AS added FROM own""")
+def detector_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The scan's verdict with what an enforcing and an advisory detector add."""
+    scanned = scan.scan(documents(spark, d))
+    registered = spark.createDataFrame(_MERGED, "detector string, mode string, weight double, threshold double")
+    each = F.array(F.struct(F.lit("tens").alias("detector"), (F.col("doc_id") % 10 / 10).alias("score")), F.struct(F.lit("sevens").alias("detector"), (F.col("doc_id") % 7 / 7).alias("score")))
+    results = table(spark, d, "documents").select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.*", F.lit(None).cast("string").alias("error"))
+    out = detectors.merge(scanned, detectors.ensemble(results, registered), results, registered)
+    return out.select("doc_id", F.round("risk", 9).alias("risk"), "blocked", joined(F.filter("patterns", lambda n: n.startswith("detector:"))).alias("added"))
+
+
 _SIGNALS = f"{_LONG}, base AS (SELECT detector AS signal, CASE WHEN label < 3 THEN 'attack' ELSE 'benign' END AS label, score, error FROM long JOIN embeddings USING (vec_id))"
 
 
@@ -686,6 +721,35 @@ def foreign_literals(spark: SparkSession, d: str) -> DataFrame:
     return foreign.found(texts, items.union(numbers).union(short), principal_col="principal", owner_col="owner")
 
 
+_MARKED = f"SELECT doc_id, text, 'customer-' || doc_id % 40 || '-id' AS literal FROM ({_OWNED})"
+
+
+@query(f"SELECT doc_id, sha256(replace(text, literal, '[REDACTED:{S.FOREIGN.upper()}]')) AS digest FROM ({_MARKED})")
+def literal_redaction(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without the identifiers that aren't their reader's."""
+    own = table(spark, d, "documents").select("doc_id", F.expr("text || ' for customer-' || doc_id % 40 || '-id and ab' || doc_id % 7 || ' cd34'").alias("text"), F.expr("array('customer-' || doc_id % 40 || '-id', 'id', null)").alias("literals"))
+    return own.select("doc_id", F.sha2(S.redact(F.col("text"), S.literal_spans(F.col("text"), T.forbidden_literals(F.col("literals")))), 256).alias("digest"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN conv_id::VARCHAR ELSE 'user' || conv_id % 5 || '||' || conv_id END AS session_key, 'actor::user' || conv_id % 5 AS actor_key FROM conversations")
+def session_keys(spark: SparkSession, d: str) -> DataFrame:
+    principal = F.concat(F.lit("user"), F.col("conv_id") % 5)
+    key = T.session_key(F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 != 0, principal))
+    return table(spark, d, "conversations").select("conv_id", "turn", key.alias("session_key"), T.actor_key(principal).alias("actor_key"))
+
+
+# Pages as the text of images: an iTXt chunk for each, behind a header that holds none.
+@query("SELECT page_id, sha256('Page: ' || trim(html)) AS digest FROM pages WHERE trim(html) <> ''")
+def media_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of image metadata, for pages put into images."""
+    body = F.concat(F.encode(F.lit("Page"), "UTF-8"), F.unhex(F.lit("0000000000")), F.encode("html", "UTF-8"))
+    size = F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0"))
+    head = F.unhex(F.lit("89504E470D0A1A0A" + "0000000D49484452" + "00" * 17))
+    image = F.concat(head, size, F.encode(F.lit("iTXt"), "UTF-8"), body, F.unhex(F.lit("00000000")))
+    found = media.extract_all(table(spark, d, "pages").select("page_id", image.alias("content")), strings=False)
+    return found.where("text <> ''").select("page_id", F.sha2("text", 256).alias("digest"))
+
+
 # Calls whose tokens are good, but for what a check must be able to tell.
 @query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'expired' WHEN 2 THEN 'malformed' WHEN 3 THEN 'malformed' WHEN 4 THEN 'no_subject' WHEN 5 THEN 'malformed' END AS denied FROM orders""")
 def token_null_fields(spark: SparkSession, d: str) -> DataFrame:
