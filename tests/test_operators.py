@@ -204,6 +204,18 @@ def test_tokens_made_elsewhere_verify(spark):
     assert list(ring.keys) == ["k2"] and ring.active == "k2"
 
 
+def test_filters_on_parsed_tokens_read_them_once(spark):
+    good = dict(agent_id="a", scopes=["read"], expires_at=100.0, nonce="n", max_uses=1, constraints={"x": "1"}, kid="k")
+    df = spark.createDataFrame([(1, token(good)), (2, "abc.de"), (3, None), (4, token(good | {"kid": "k k"})), (5, token(good, b"y" * 32))], "id int, token string")
+    for condition, want in (("malformed is null", [1, 5]), ("malformed is not null", [2, 3, 4]), ("payload.kid = 'k' and raw is not null", [1, 5]), ("malformed = 'bad_kid' or signature = 'de'", [2, 4])):
+        kept = capability.parse(df.withColumn("token", F.regexp_replace("token", "^$", "-"))).where(condition)
+        assert sorted(r.id for r in kept.collect()) == want
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("regexp_replace(") == 1
+    met = capability.parse(df).where("malformed is null").select("id", capability.constraints_met(F.col("payload.constraints"), F.create_map(F.lit("x"), F.col("id").cast("string"))).alias("met"))
+    assert {r.id: r.met for r in met.collect()} == {1: True, 5: False}
+
+
 def test_detectors(spark):
     def strict(text):
         if text == "boom":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textward.functions.text import hmac_sha256
+from textward.operators.scan import computed
 
 log = logging.getLogger(__name__)
 MAX_CHARS = 16_384
@@ -130,7 +131,10 @@ def issue(df: DataFrame, ring: Keyring, *, agent_id: Column, scopes: Column, iss
 
 
 def parse(df: DataFrame, token_col: str = "token") -> DataFrame:
-    """df with raw (bytes), signature, payload (struct) and malformed (why the token can't be read, else null)."""
+    """df with raw (bytes), signature, payload (struct) and malformed (why the token can't be read, else null).
+
+    They are `computed` here, so a filter on them reads them and doesn't parse the token anew for each mention of it.
+    """
     token = F.col(token_col)
     at = F.instr(token, ".")
     head, tail = F.when(at > 0, F.substring(token, F.lit(1), at - 1)), F.when(at > 0, F.substring(token, at + 1, F.length(token)))
@@ -154,7 +158,8 @@ def parse(df: DataFrame, token_col: str = "token") -> DataFrame:
         .when(F.size(missing) > 0, F.concat(F.lit("missing_"), F.array_join(missing, "_")))
         .when(F.size(bad) > 0, F.concat(F.lit("bad_"), F.array_join(bad, "_")))
     )
-    return out.withColumn("malformed", why).drop("_missing")
+    out = out.withColumn("malformed", why).drop("_missing")
+    return computed(out, **{c: F.col(c) for c in ("raw", "signature", "payload", "malformed")})
 
 
 def authorize(calls: DataFrame, ring: Keyring, *, action: str = "action", subject: str = "subject", now: str = "now", audience: str | None = None, require_subject: bool = False, revocations: DataFrame | None = None) -> DataFrame:
